@@ -1,9 +1,57 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: language ID, near-dedup, decontamination, mixing, token files.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``. Those before the last return the columns of ``docs`` and the rows that stay;
+the last writes token files in the shared folder and returns what they hold. ``run`` writes each stage's rows as
+Parquet there and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridspark.llm import decontaminate, language, mixing, scratch, simhash, tokens
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those of which no language gets a fair share."""
+    return language.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each near-duplicate component."""
+    return simhash.deduplicate(docs)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the benchmark's windows contaminate."""
+    return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Brings domains, languages and sources to their target weights; a document may come several times."""
+    return mixing.mix_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending doc_id order, and each document's place in them."""
+    return tokens.token_files(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", remove_benchmarks),
+    ("mix", mix_sources),
+    ("tokens", write_tokens),
+]
+
+#: XXH64, the recurrent network and the tokenizer have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
