@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ SEED_WORDS = 8
 MAX_GROUP = 200_000
 #: So many bytes of text are hashed at a time, cut at white space.
 BATCH_BYTES = 2 << 20
+#: So many bytes of text, or an Arrow batch if that is smaller, are searched for equal pieces before they are dealt out.
+COMBINE_BYTES = 32 << 20
 EDGE_BYTES = 6
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -127,27 +130,33 @@ def pieces(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, count, seeds[least[start]], edges
 
 
-def _six(edges: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(edges.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :EDGE_BYTES])
+_SENT = ["m", "doc_id", "t", "s", "bits", "edges"]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, t, text)`` -> ``(m, doc_id, t, s, edges)``: ``edges`` has six bytes of each edge's hash."""
+    """``(doc_id, t, text)`` -> ``(m, doc_id, t, s, bits, edges)``: ``edges`` has six bytes of each edge's hash.
+
+    Of equal pieces in COMBINE_BYTES of text two are sent on, which tells the group that their edges repeat; all others
+    are known to repeat and only pass by, with ``bits`` and without ``edges``, dealt out by their place.
+    """
     for b in batches:
         texts = b.column(2).cast(pa.binary())
-        ids, tags = b.column(0), b.column(1)
-        i = 0
+        i, size, found = 0, 0, []
         while i < len(texts):
-            part, size, j = [], 0, i
-            while j < len(texts) and (size == 0 or size + len(part[-1]) < BATCH_BYTES):
+            part, n, j = [], 0, i
+            while j < len(texts) and n < BATCH_BYTES:
                 part.append(texts[j].as_py() or b"")
-                size += len(part[-1]) + 1
+                n += len(part[-1]) + 1
                 j += 1
-            yield from _of_texts(part, i, ids, tags)
-            i = j
+            found += _of_texts(part, i)
+            i, size = j, size + n
+            if size >= COMBINE_BYTES or i == len(texts):
+                yield from _combined(found, b.column(0), b.column(1))
+                size, found = 0, []
 
 
-def _of_texts(part: list[bytes], i: int, ids: pa.Array, tags: pa.Array) -> Iterator[pa.RecordBatch]:
+def _of_texts(part: list[bytes], i: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, first word, edges and minimizer of every piece of the texts from row ``i`` on, and all edges' hashes."""
     starts, h = word_hashes(b"\n".join(part))
     bounds = np.cumsum([0, *(len(x) + 1 for x in part)])
     doc = np.searchsorted(bounds, starts, side="right") - 1
@@ -156,14 +165,38 @@ def _of_texts(part: list[bytes], i: int, ids: pa.Array, tags: pa.Array) -> Itera
     for a in range(0, max(len(h) - K + 1, 0), step):
         z = min(len(h), a + step + K - 1)
         start, count, m, edges = pieces(h[a:z], doc[a:z])
-        if not len(start):
+        if len(start):
+            d = doc[start + a]
+            yield d + i, start + a - head[d], count, m, edges
+
+
+def _combined(found: list[tuple[np.ndarray, ...]], ids: pa.Array, tags: pa.Array) -> Iterator[pa.RecordBatch]:
+    if not found:
+        return
+    row, s, count, m, edges = (np.concatenate(x) for x in zip(*found, strict=True))
+    ends = np.cumsum(count)
+    first, last = edges[ends - count], edges[ends - 1]  # with the number of edges, these tell pieces apart
+    order = np.lexsort((np.arange(len(m)), last, first, count))
+    f, z, n = first[order], last[order], count[order]
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (z[1:] != z[:-1]) | (n[1:] != n[:-1])])
+    at = np.flatnonzero(new)
+    nth = np.empty(len(m), np.int64)
+    nth[order] = np.arange(len(m)) - np.repeat(at, np.diff(np.append(at, len(m))))
+    for spare in (False, True):
+        k = np.flatnonzero((nth >= 2) == spare)
+        if not len(k):
             continue
-        d = doc[start + a]
-        offsets = np.concatenate([[0], np.cumsum(count) * EDGE_BYTES]).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_six(edges))])
-        take = pa.array(d + i)
-        cols = [pa.array(m.view(np.int64)), ids.take(take), tags.take(take), pa.array((start + a - head[d]).astype(np.int32)), blob]
-        yield pa.RecordBatch.from_arrays(cols, ["m", "doc_id", "t", "s", "edges"])
+        take = pa.array(row[k])
+        place = [ids.take(take), tags.take(take), pa.array(s[k].astype(np.int32))]
+        if spare:
+            key = _mix(_mix(row[k].astype(np.uint64)) + s[k].astype(np.uint64) + m[k])
+            bits = (np.int64(1) << count[k]) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *place, pa.array(bits), pa.nulls(len(k), pa.binary())], _SENT)
+        else:
+            sent = edges[np.repeat(nth < 2, count)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :EDGE_BYTES]
+            offsets = np.concatenate([[0], np.cumsum(count[k]) * EDGE_BYTES]).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sent))])
+            yield pa.RecordBatch.from_arrays([pa.array(m[k].view(np.int64)), *place, pa.nulls(len(k), pa.int64()), blob], _SENT)
 
 
 _OUT = ["kind", "m", "doc_id", "t", "s", "bits", "edges"]
@@ -215,6 +248,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, big = None, None
     for b in batches:
         rows = pa.Table.from_batches([b])
+        known = rows.column("edges").is_null()
+        if (some := rows.filter(known)).num_rows:
+            yield _out(0, some, some.column("bits").to_numpy())
+        rows = rows.filter(pc.invert(known)).drop_columns(["bits"])
+        if not rows.num_rows:
+            continue
         if big is not None:
             m = rows.column("m").to_numpy()
             n = len(m) if (m == big).all() else int(np.argmax(m != big))
@@ -256,7 +295,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
     """``(doc_id, t, s, bits)``: bit i of ``bits`` says that the window of 35 words from word ``s + i`` on occurs elsewhere."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = _rows(docs).mapInArrow(_pieces, "m long, doc_id long, t int, s int, edges binary")
+    dealt = _rows(docs).mapInArrow(_pieces, "m long, doc_id long, t int, s int, bits long, edges binary")
     dealt = dealt.repartition(parts, "m").sortWithinPartitions("m")
     schema = "kind int, m long, doc_id long, t int, s int, bits long, edges binary"
     found = scratch.table(dealt.mapInArrow(_groups, schema), "repeats")
