@@ -19,7 +19,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str | None = None, doubles: str = ""):
+    """Registers a query and its SQL; ``doubles`` names columns that DuckDB would make decimals."""
+    if doubles:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in doubles.split())}) FROM ({sql})"
+
     def add(f: Callable[[Tables], DataFrame]):
         name = f.__name__
         _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
@@ -162,8 +166,7 @@ def cost_split(t: Tables) -> DataFrame:
 
 
 @_query(
-    """SELECT p_partkey, 100.0 * (p_partkey % 4) AS y0, 100.0 * (p_partkey % 4) + 100.0 AS y1 FROM part""",
-)
+    """SELECT p_partkey, 100.0 * (p_partkey % 4) AS y0, 100.0 * (p_partkey % 4) + 100.0 AS y1 FROM part""", doubles="y0 y1")
 def estimated_bands(t: Tables) -> DataFrame:
     b = G.band(F.lit(612.0), F.lit(400.0), F.col("p_partkey") % 4, F.lit(4))
     return t("part").select("p_partkey", b["y0"].alias("y0"), b["y1"].alias("y1"))
@@ -204,8 +207,7 @@ def parse_pages(t: Tables) -> DataFrame:
 kept AS (SELECT * FROM big WHERE a >= 0.0003 * 600 * 700), n AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, x1, y1) AS INT) AS i, x0, y0, x1, y1 FROM kept),
 p AS (SELECT DISTINCT page FROM boxes)
 SELECT page, i - 1 AS region_idx, x0, y0, x1, y1, 0.8 AS confidence, 'section_' || i AS section_label FROM n
-UNION ALL SELECT page, 0, 0.0, 0.0, 600.0, 700.0, 0.5, NULL FROM p ANTI JOIN n USING (page)"""
-)
+UNION ALL SELECT page, 0, 0.0, 0.0, 600.0, 700.0, 0.5, NULL FROM p ANTI JOIN n USING (page)""", doubles="x0 y0 x1 y1 confidence")
 def region_filter(t: Tables) -> DataFrame:
     b = D.boxes(t)
     all_pages = b.select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(600.0).alias("width"), F.lit(700.0).alias("height")).distinct()
@@ -282,8 +284,7 @@ _DIMS = ", dims AS (SELECT k, max(ln) AS n_rows FROM readings GROUP BY 1)"
 @_query(
     f"""WITH {D.READINGS}{_DIMS}, pos AS (SELECT k, CAST(unnest(range(n_rows)) AS INT) AS row_index FROM dims), c AS (SELECT DISTINCT k, ln - 1 AS row_index FROM readings WHERE attempt = 0)
 SELECT k, row_index, 0 AS col_index, c.k IS NULL AS is_filler, CASE WHEN c.k IS NULL THEN 'filler' ELSE 'explicit' END AS structure_source, CASE WHEN c.k IS NULL THEN 0.2 ELSE 0.95 END AS structure_confidence
-FROM pos LEFT JOIN c USING (k, row_index)""".replace("c.k IS NULL", "c.row_index IS NULL")
-)
+FROM pos LEFT JOIN c USING (k, row_index)""".replace("c.k IS NULL", "c.row_index IS NULL"), doubles="structure_confidence")
 def densify(t: Tables) -> DataFrame:
     r = D.readings(t)
     dims = r.groupBy("k").agg(F.max("ln").alias("n_rows")).withColumn("n_cols", F.lit(1))
@@ -295,8 +296,7 @@ def densify(t: Tables) -> DataFrame:
     f"""WITH {D.READINGS}, h AS (SELECT k, list_sort(list_distinct(list(ln * 10.0))) AS h, list_sort(list_distinct(list(floor(price / 1000)))) AS v FROM readings GROUP BY 1),
 g AS (SELECT k, list_filter(h, lambda x: x BETWEEN 0 AND 60) AS h, list_filter(v, lambda x: x BETWEEN 0 AND 40) AS v FROM h)
 SELECT k, CAST(r AS INT) AS row_index, CAST(c AS INT) AS col_index, v[c + 1] AS x0, h[r + 1] AS y0, v[c + 2] AS x1, h[r + 2] AS y1 FROM
-  (SELECT *, unnest(range(len(h) - 1)) AS r FROM g WHERE len(h) >= 2 AND len(v) >= 2), LATERAL (SELECT unnest(range(len(v) - 1)) AS c)"""
-)
+  (SELECT *, unnest(range(len(h) - 1)) AS r FROM g WHERE len(h) >= 2 AND len(v) >= 2), LATERAL (SELECT unnest(range(len(v) - 1)) AS c)""", doubles="y0 y1")
 def grid_lines(t: Tables) -> DataFrame:
     r = D.readings(t).groupBy("k").agg(F.collect_list(F.col("ln") * 10.0).alias("h_lines"), F.collect_list(F.floor(F.col("price") / 1000).cast("double")).alias("v_lines"))
     out = grid.grid_from_lines(r.withColumn("bbox", G.bbox(0.0, 0.0, 40.0, 60.0)), ["k"])
@@ -373,8 +373,7 @@ def table_stats(t: Tables) -> DataFrame:
 
 @_query(
     f"""WITH {D.READINGS}, {D.cells_sql('c', 0)} SELECT k, row_index, col_index, CASE WHEN col_index = 0 THEN 'r' || row_index || 'c0' WHEN col_index = 1 AND k % 2 = 0 THEN 'answer' ELSE text END AS text,
-  CASE WHEN col_index = 0 THEN 'ocr' WHEN col_index = 1 AND k % 2 = 0 THEN 'llm_fallback' ELSE 'mock' END AS text_source, CASE WHEN col_index = 0 THEN 0.9 ELSE 0.3 END AS text_confidence FROM c"""
-)
+  CASE WHEN col_index = 0 THEN 'ocr' WHEN col_index = 1 AND k % 2 = 0 THEN 'llm_fallback' ELSE 'mock' END AS text_source, CASE WHEN col_index = 0 THEN 0.9 ELSE 0.3 END AS text_confidence FROM c""", doubles="text_confidence")
 def text_fill(t: Tables) -> DataFrame:
     c = D.grid_cells(t, 0).withColumns({"text": F.when(F.col("col_index") > 0, F.col("text")), "text_confidence": F.lit(0.3), "text_source": F.lit("mock")})
     answers = c.select("k", "row_index", "col_index", F.lit("answer").alias("answer"), F.when((F.col("k") % 2 == 1) | (F.col("col_index") != 1), "failed").alias("error"))
@@ -411,7 +410,7 @@ r AS (SELECT *, lower(value) IN ('', '..', '-', 'n/a', '—', 'na', 'n.a.') AND
 l AS (SELECT *, CASE WHEN blank THEN 1.0 WHEN n = 0 THEN 0.5 WHEN value = ocr THEN 1.0 WHEN sim >= 0.8 THEN sim ELSE 0.4 END AS rule FROM r)"""
 
 
-@_query(f"WITH {D.BOXES}{_LADDER} SELECT box_idx, CASE WHEN n > 0 AND conf < 0.5 THEN greatest(rule, 0.6) ELSE rule END AS confidence FROM l")
+@_query(f"WITH {D.BOXES}{_LADDER} SELECT box_idx, CASE WHEN n > 0 AND conf < 0.5 THEN greatest(rule, 0.6) ELSE rule END AS confidence FROM l", doubles="confidence")
 def confidence_ladder(t: Tables) -> DataFrame:
     k, name = F.col("box_idx"), F.col("name")
     value = F.when(k % 4 == 0, "N/A").when(k % 4 == 1, name).when(k % 4 == 2, "12").otherwise("")

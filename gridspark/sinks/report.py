@@ -39,7 +39,7 @@ def run_report(stats: Mapping[str, Any], tables: list[tuple[int, str, str]], err
 
 def overlay_shapes(regions: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, kind, bbox, label`` of everything to draw on a page."""
-    kind = F.when("is_filler", "filler").otherwise(F.coalesce("structure_source", F.lit("explicit")))
+    kind = F.when(F.col("is_filler"), "filler").otherwise(F.coalesce("structure_source", F.lit("explicit")))
     label = F.format_string("R%dC%d", "row_index", "col_index")
     r = regions.select(*keys, F.lit("region").alias("kind"), "bbox", F.col("section_label").alias("label"))
     return r.union(cells.select(*keys, kind, "bbox", label))
