@@ -134,9 +134,13 @@ def _key(c: Column) -> Column:
 
 def remove_documents(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """``docs`` without the contaminated documents, all columns kept."""
-    bad = contamination(docs, bench, n).filter("contaminated").select(_key(F.col("doc_id")).alias("_id"), F.col("t").alias("_t")).distinct()
-    rows = docs.withColumns({"_id": _key(F.col("doc_id")), "_t": F.xxhash64("text")})
-    return rows.join(bad, ["_id", "_t"], "left_anti").select(*docs.columns)
+    bad = contamination(docs, bench, n).filter("contaminated").select(_key(F.col("doc_id")).alias("id"), "t").distinct()
+    return _keyed(docs).join(bad, ["id", "t"], "left_anti").select("row.*")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Every column in ``row``, out of the way of the names used here."""
+    return docs.select(F.struct("*").alias("row"), _key(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("t"))
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
@@ -145,9 +149,9 @@ def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     Words are those of the contamination rule, but keep their case; texts without a hit stay as they are.
     """
     spans = F.transform("found", lambda x: F.struct(x["at"].alias("at"), (x["at"] + x["n"]).alias("end")))
-    found = hits(docs, bench, n).filter(F.size("found") > 0).select(_key(F.col("doc_id")).alias("_id"), F.col("t").alias("_t"), spans.alias("_spans"))
-    rows = docs.withColumns({"_id": _key(F.col("doc_id")), "_t": F.xxhash64("text")}).join(found, ["_id", "_t"], "left")
-    words = split_words(F.col("text"), CASED_NOT_WORD)
-    kept = F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["end"])))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
-    return rows.withColumn("text", text).select(*docs.columns)
+    found = hits(docs, bench, n).filter(F.size("found") > 0).select(_key(F.col("doc_id")).alias("id"), "t", spans.alias("spans"))
+    rows = _keyed(docs).join(found, ["id", "t"], "left")
+    words = split_words(F.col("row.text"), CASED_NOT_WORD)
+    kept = F.filter(words, lambda w, i: ~F.exists("spans", lambda s: (s["at"] <= i) & (i < s["end"])))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(kept, " "))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

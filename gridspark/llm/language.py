@@ -114,6 +114,8 @@ class Model:
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """The mean over all positions of each text, (texts, languages); a text without a byte has zeros."""
         out = np.zeros((len(texts), len(self.langs)))
+        if not self.langs:
+            return out
         sizes = np.array([len(t) for t in texts], np.int64)
         raw = np.frombuffer(b"".join(texts) + bytes(STEPS), np.uint8)
         windows = -(-sizes // STEPS)

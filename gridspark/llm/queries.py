@@ -131,7 +131,7 @@ SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_d").alias("domain"), mixing.n_tokens(F.col("text")).alias("n_tokens"), F.col("_copies").alias("n_copies"))
+    return found.select("row.doc_id", "domain", mixing.n_tokens(F.col("row.text")).alias("n_tokens"), "n_copies")
 
 
 def _weights_sql(level: str) -> str:

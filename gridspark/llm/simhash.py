@@ -256,9 +256,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t"))
     kept = near_duplicates(docs).groupBy("component").agg(first.alias("k"))
-    kept = kept.select(_key(F.col("k.doc_id")).alias("_id"), F.col("k.t").alias("_t")).distinct()
-    rows = docs.withColumns({"_id": _key(F.col("doc_id")), "_t": F.xxhash64("text")})
-    return rows.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    kept = kept.select(_key(F.col("k.doc_id")).alias("id"), F.col("k.t").alias("t")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), _key(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("t"))
+    return rows.join(kept, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).select("row.*")
 
 
 def _key(doc_id):

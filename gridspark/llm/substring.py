@@ -9,7 +9,6 @@ pieces of a document to spans and takes them out of its words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,86 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .hashing import Powers, mix, sums, word_hashes
 
 K = 35
 SEED_WORDS = 8
 #: A group of more pieces than this leaves the streaming pass and is counted edge by edge in Spark.
 MAX_GROUP = 200_000
-#: So many bytes of text are hashed at a time, cut at white space.
+#: Texts are hashed together up to about so many bytes.
 BATCH_BYTES = 2 << 20
 #: So many bytes of text, or an Arrow batch if that is smaller, are searched for equal pieces before they are dealt out.
 COMBINE_BYTES = 32 << 20
 EDGE_BYTES = 6
 
-_GAP = re.compile(rb"[\x20\x09-\x0D]")
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_WORDS, _SEEDS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scramble of 64-bit values (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64, as far as asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.n = base, 0
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            n = max(n, 2 * self.n, 1 << 16)
-            with np.errstate(over="ignore"):
-                one = np.ones(1, np.uint64)
-                self.up = np.concatenate([one, np.cumprod(np.full(n - 1, self.base, np.uint64))])
-                self.down = np.concatenate([one, np.cumprod(np.full(n - 1, pow(self.base, -1, 1 << 64), np.uint64))])
-            self.n = n
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS, _SEEDS = _Powers(0x5851F42D4C957F2D), _Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F)
-
-
-def _sums(values: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers.upto(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out, down
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The start of every word of ``data`` and a 64-bit hash of its bytes."""
-    found, at = [], 0
-    while at < len(data):
-        gap = _GAP.search(data, at + BATCH_BYTES)
-        end = gap.end() if gap else len(data)
-        starts, h = _block_hashes(data[at:end])
-        found.append((starts + at, h))
-        at = end
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def _block_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    total, down = _sums(raw.astype(np.uint64) + np.uint64(1), _BYTES)
-    h = (total[ends] - total[starts]) * down[starts]
-    return starts, _mix(h + (ends - starts).astype(np.uint64) * _M1)
-
-
-def _runs_of(h: np.ndarray, n: int, powers: _Powers) -> np.ndarray:
+def _runs_of(h: np.ndarray, n: int, powers: Powers) -> np.ndarray:
     """A hash of every ``n`` following values."""
-    total, down = _sums(h, powers)
-    return _mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
+    total, down = sums(h, powers)
+    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -157,7 +95,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _of_texts(part: list[bytes], i: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, first word, edges and minimizer of every piece of the texts from row ``i`` on, and all edges' hashes."""
-    starts, h = word_hashes(b"\n".join(part))
+    starts, _, h = word_hashes(b"\n".join(part))
     bounds = np.cumsum([0, *(len(x) + 1 for x in part)])
     doc = np.searchsorted(bounds, starts, side="right") - 1
     head = np.searchsorted(doc, np.arange(len(part)))
@@ -189,7 +127,7 @@ def _combined(found: list[tuple[np.ndarray, ...]], ids: pa.Array, tags: pa.Array
         take = pa.array(row[k])
         place = [ids.take(take), tags.take(take), pa.array(s[k].astype(np.int32))]
         if spare:
-            key = _mix(_mix(row[k].astype(np.uint64)) + s[k].astype(np.uint64) + m[k])
+            key = mix(mix(row[k].astype(np.uint64)) + s[k].astype(np.uint64) + m[k])
             bits = (np.int64(1) << count[k]) - 1
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *place, pa.array(bits), pa.nulls(len(k), pa.binary())], _SENT)
         else:
@@ -291,6 +229,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.hash("text").alias("t"), "text")
 
 
+def _count_edges(big: DataFrame) -> DataFrame:
+    """Pieces of the groups that are too large for a task, edge by edge; a hot edge's count has map-side partial sums."""
+    each = big.mapInArrow(_one_by_one, "doc_id long, t int, s int, i int, m long, e long")
+    twice = each.groupBy("m", "e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "e")
+    bit = F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")
+    return each.join(scratch.table(twice, "edges"), ["m", "e"]).groupBy("doc_id", "t", "s").agg(bit)
+
+
 def repeated_pieces(docs: DataFrame) -> DataFrame:
     """``(doc_id, t, s, bits)``: bit i of ``bits`` says that the window of 35 words from word ``s + i`` on occurs elsewhere."""
     spark = docs.sparkSession
@@ -302,10 +248,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
     out = found.filter("kind = 0").select("doc_id", "t", "s", "bits")
     big = found.filter("kind = 1").select("doc_id", "t", "s", "m", "edges")
     if not big.isEmpty():
-        each = big.mapInArrow(_one_by_one, "doc_id long, t int, s int, i int, m long, e long")
-        twice = each.groupBy("m", "e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "e")
-        bit = F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")
-        out = out.union(each.join(twice, ["m", "e"]).groupBy("doc_id", "t", "s").agg(bit))
+        out = out.union(_count_edges(big))
     return out
 
 

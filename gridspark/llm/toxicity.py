@@ -183,11 +183,13 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
 
 def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the knots of the non-decreasing function of ``score`` that is nearest to ``y``."""
-    order = np.argsort(score, kind="stable")
+    at, which = np.unique(score, return_inverse=True)
+    total = np.bincount(which, weight)
+    mean, weight = np.bincount(which, weight * y) / total, total
     blocks: list[list[float]] = []  # mean, weight, first and last score
-    for s, v, w in zip(score[order], y[order], weight[order], strict=True):
+    for s, v, w in zip(at, mean, weight, strict=True):
         blocks.append([float(v), float(w), float(s), float(s)])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b, a = blocks.pop(), blocks.pop()
             w2 = a[1] + b[1]
             blocks.append([(a[0] * a[1] + b[0] * b[1]) / w2, w2, a[2], b[3]])
