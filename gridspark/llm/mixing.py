@@ -11,6 +11,8 @@ from . import scratch
 from .words import SPACE, split_words
 
 LEVELS = ("domain", "lang", "source")
+#: Hex digits of a document's key that the cut of a leaf is narrowed to before rows are sorted.
+DIGITS = 4
 #: The table of leaves is broadcast up to so many rows (about 100 bytes each); beyond it Spark joins as it sees fit.
 MAX_BROADCAST = 50_000
 
@@ -92,63 +94,65 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return sized.drop("capacity").join(have.select(*LEVELS, "budget"), list(LEVELS))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """The tree's keys, never null, beside all columns of ``docs``."""
-    return docs.withColumns({"_d": domain_of(F.col("source")), "_l": F.coalesce("lang", F.lit("")), "_s": F.coalesce("source", F.lit(""))})
-
-
 def _placed(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
-    """Rows of ``_d, _l, _s`` with their leaf's ``whole`` epochs and their key in the epoch that is cut."""
-    on = (F.col("_d") == F.col("domain")) & (F.col("_l") == F.col("lang_")) & (F.col("_s") == F.col("source_"))
+    """Rows with ``doc_id`` and the tree's keys, their leaf's columns, and their ``key`` in the epoch that is cut."""
     side = F.broadcast(leaves) if leaves.count() <= MAX_BROADCAST else leaves
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return rows.join(side, on).withColumn("_key", key)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), number))
+    return rows.join(side, list(LEVELS)).withColumn("key", key)
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    """The tree's keys, never null."""
+    return [domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")]
+
+
+def _id(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(-(1 << 63))).alias("id")
+
+
+def _narrow(cuts: DataFrame, placed: DataFrame, digits: int) -> DataFrame:
+    """The first bucket of each leaf in which the tokens pass the room, among the rows of the bucket cut so far."""
+    rows = placed.join(cuts, list(LEVELS)).filter(F.startswith("key", F.col("cut")))
+    sums = rows.groupBy(*LEVELS, "room", F.substring("key", 1, digits).alias("bucket")).agg(F.sum("n").alias("n"))
+    sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")))  # a row for each bucket
+    left = F.col("room") - F.col("upto") + F.col("n")
+    first = F.min_by(F.struct(F.col("bucket").alias("cut"), left.alias("room")), "bucket")
+    return scratch.table(sums.filter("upto > room").groupBy(*LEVELS).agg(first.alias("x")).select(*LEVELS, "x.cut", "x.room"), "cuts")
 
 
 def copies(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """``docs(doc_id, text, lang, source, ...)`` with ``_d`` (the domain) and ``_copies``, one row per row.
+    """``docs(doc_id, text, lang, source, ...)`` -> ``row`` (all its columns), ``domain`` and ``n_copies``, one row per row.
 
     A leaf whose budget is e whole passes over its tokens and a rest gives every document e times, and once more the
     longest run of documents from the start of epoch e's order whose tokens fit the rest. The order is that of
     md5(seed:epoch:doc_id), then doc_id, then the text's hash; rows equal in all three stand or fall together. It is
-    cut by radix: tokens by leaf and the first three hex digits show which of 4096 buckets the cut falls in, and only
-    that bucket's rows are sorted. Null lang and source are leaves named by the empty string; a null or wordless text
-    has no tokens; an empty table gives no rows.
+    cut by radix: tokens by leaf and two hex digits show which of 256 buckets the cut falls in, two more which part of
+    it, and only the rows of that part are sorted. Null lang and source are leaves named by the empty string; a null or
+    wordless text has no tokens; documents of a leaf without tokens are taken once; an empty table gives no rows.
     """
-    named = _named(docs.select("doc_id", "lang", "source", n_tokens(F.col("text")).alias("n"), F.xxhash64("text").alias("t")))
-    rows = scratch.table(named.select("doc_id", "t", "n", "_d", "_l", "_s"), "mixing")
-    leaves = rows.groupBy(F.col("_d").alias("domain"), F.col("_l").alias("lang"), F.col("_s").alias("source")).agg(F.sum("n").alias("tokens"))
-    given = budgets(scratch.table(leaves, "leaves"), mix)
-    whole = F.expr("if(tokens > 0, budget div tokens, 0L)")
-    given = given.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
-    given = scratch.table(given.withColumnsRenamed({"lang": "lang_", "source": "source_"}), "budgets")
+    rows = docs.select("doc_id", *_keys(docs), n_tokens(F.col("text")).alias("n"), F.xxhash64("text").alias("t"))
+    rows = scratch.table(rows, "mixing")
+    given = budgets(scratch.table(rows.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), "leaves"), mix)
+    given = given.withColumn("whole", F.expr("if(tokens > 0, budget div tokens, 0L)"))
+    given = scratch.table(given.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "budgets")
     placed = _placed(rows, given, mix)
-    leaf = ["_d", "_l", "_s"]
-    bucket = F.substring("_key", 1, 3)
-    sums = placed.groupBy(*leaf, "rest", bucket.alias("_b")).agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_b"))
-    over = sums.withColumn("upto", upto).filter("upto > rest")
-    cut = over.groupBy(*leaf).agg(F.min_by(F.struct(F.when(F.col("rest") > 0, F.col("_b")).otherwise(F.lit("")).alias("cut"), (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "_b").alias("x"))
-    cut = cut.select(*[F.col(c).alias(c + "2") for c in leaf], "x.cut", "x.room")
-    on = [F.col(c) == F.col(c + "2") for c in leaf]
-    cut = scratch.table(cut, "cuts")
-    inside = placed.join(cut, on).filter(bucket == F.col("cut"))
-    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_key", F.col("doc_id").asc_nulls_first(), "t"))
-    chosen = inside.withColumn("upto", upto).filter("upto <= room").select(_id(F.col("doc_id")).alias("_id"), F.col("t").alias("_t"), F.lit(1).alias("_in")).distinct()
-    chosen = scratch.table(chosen, "chosen")
-    leaves = given.join(cut, [F.col(a) == F.col(b) for a, b in (("domain", "_d2"), ("lang_", "_l2"), ("source_", "_s2"))], "left")
-    leaves = scratch.table(leaves.select("domain", "lang_", "source_", "whole", "cut"), "cut_budgets")
-    out = _placed(_named(docs).withColumns({"_id": _id(F.col("doc_id")), "_t": F.xxhash64("text")}), leaves, mix)
-    out = out.join(chosen, ["_id", "_t"], "left")
-    below = F.when(F.col("cut").isNull() | (bucket < F.col("cut")), F.lit(1)).when(bucket == F.col("cut"), F.coalesce("_in", F.lit(0))).otherwise(F.lit(0))
-    return out.select(*docs.columns, "_d", (F.col("whole") + below).cast("int").alias("_copies"))
-
-
-def _id(c: Column) -> Column:
-    return F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    cuts = given.filter("rest > 0").select(*LEVELS, F.lit("").alias("cut"), F.col("rest").alias("room"))
+    for digits in range(2, DIGITS + 1, 2):
+        cuts = _narrow(cuts, placed, digits)
+    inside = placed.join(cuts, list(LEVELS)).filter(F.startswith("key", F.col("cut")))
+    order = Window.partitionBy(*LEVELS).orderBy("key", F.col("doc_id").asc_nulls_first(), "t")
+    chosen = inside.withColumn("upto", F.sum("n").over(order)).filter("upto <= room")
+    chosen = scratch.table(chosen.select(_id(F.col("doc_id")), "t", F.lit(1).alias("chosen")).distinct(), "chosen")
+    leaves = scratch.table(given.join(cuts.drop("room"), list(LEVELS), "left").select(*LEVELS, "tokens", "rest", "whole", "cut"), "cut_budgets")
+    all_ = docs.select(F.struct("*").alias("row"), "doc_id", _id(F.col("doc_id")), F.xxhash64("text").alias("t"), *_keys(docs))
+    out = _placed(all_, leaves, mix).join(chosen, ["id", "t"], "left")
+    bucket = F.substring("key", 1, DIGITS)
+    last = F.when(F.col("tokens") == 0, 1).when(F.col("rest") == 0, 0).when(bucket < F.col("cut"), 1).when(bucket == F.col("cut"), F.coalesce("chosen", F.lit(0))).otherwise(0)
+    return out.select("row", "domain", (F.col("whole") + last).cast("int").alias("n_copies"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """``docs`` mixed to ``mix``: each row as often as :func:`copies` says, all columns kept."""
-    out = copies(docs, mix)
-    return out.filter("_copies > 0").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    out = copies(docs, mix).filter("n_copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n_copies")))).select("row.*")
