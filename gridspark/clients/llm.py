@@ -151,3 +151,47 @@ def call_pages(pages: DataFrame, client: Client, primary: str, escalation: str |
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return pages.select("doc_id", "page_index", "image").mapInArrow(run, ATTEMPTS)
+
+
+CELL_PROMPT = "Read the text of this table cell (row {row}, column {col}). Answer with the text only."
+BLANK_CELL = (100, 50)
+
+
+def crop(gray, box, pad: int = 0) -> bytes:
+    """A cell of a page image as PNG; a white stand-in for a cell without a box or outside the page."""
+    import numpy as np
+
+    from gridspark.kernels import raster
+
+    if box is not None:
+        h, w = gray.shape
+        x0, y0, x1, y1 = (int(v) for v in box)
+        part = gray[max(0, y0 - pad) : min(h, y1 + pad), max(0, x0 - pad) : min(w, x1 + pad)]
+        if part.size:
+            return raster.png(part)
+    return raster.png(np.full(BLANK_CELL[::-1], 255, np.uint8))
+
+
+def call_cells(cells: DataFrame, client: Client, model: str, keys: list[str]) -> DataFrame:
+    """``keys, row_index, col_index, image`` -> ``keys, row_index, col_index, answer, error`` for :func:`assemble.llm_fallback`.
+
+    Filter the cells to those that need it first, and write the result to a table before using it twice.
+    """
+    kept = [*keys, "row_index", "col_index"]
+    kinds = dict(cells.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            answers, errors = [], []
+            for r, c, image in zip(*(b.column(x).to_pylist() for x in ("row_index", "col_index", "image")), strict=True):
+                try:
+                    answers.append(client.complete(model, CELL_PROMPT.format(row=r, col=c), image or b"", 0).text.strip())
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  a failed call is data
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            cols = [*(b.column(k) for k in kept), pa.array(answers, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "answer", "error"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in kept) + ", answer string, error string"
+    return cells.select(*kept, "image").mapInArrow(run, schema)

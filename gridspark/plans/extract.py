@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,12 @@ def _rasterise(config: PipelineConfig, with_image: bool):
     return run
 
 
+class Strategy(Protocol):
+    """Anything that makes an extraction of page primitives; give one to :func:`extract` in place of the built-in ones."""
+
+    def __call__(self, source: PdfFrames, config: PipelineConfig) -> Extraction: ...
+
+
 def see(source: PdfFrames, config: PipelineConfig, with_image: bool = False) -> DataFrame:
     good = source.primitives.filter("error is null and page_index is not null")
     return good.select(*[c.split()[0] for c in PRIMITIVES.split(", ") if c.split()[0] in ("doc_id", "page_index", "width", "height", "words", "rules")]).mapInArrow(_rasterise(config, with_image), _SEEN)
@@ -202,7 +209,7 @@ def from_attempts(source: PdfFrames, attempts: DataFrame, config: PipelineConfig
     return Extraction(cells, tables, _page_results(source.pages, tables, errors, {"calls": calls}), errors)
 
 
-def extract(files: DataFrame, config: PipelineConfig, client: Client | None = None, attempts_path: str | None = None) -> Extraction:
+def extract(files: DataFrame, config: PipelineConfig, client: Client | None = None, attempts_path: str | None = None, strategy: Strategy | None = None) -> Extraction:
     """``files(path, content)`` -> tables, by the strategy of ``config``.
 
     The model strategy needs a client and a path for its attempts, which are written once and read back, so that a
@@ -212,6 +219,8 @@ def extract(files: DataFrame, config: PipelineConfig, client: Client | None = No
     if config.page_indices is not None:
         wanted = files.select(F.col("path").alias("doc_id")).withColumn("indices", F.array(*[F.lit(i) for i in config.page_indices]).cast("array<int>"))
     source = read_pdf(files, wanted)
+    if strategy is not None:
+        return strategy(source, config)
     if config.extraction_strategy == "heuristic":
         return heuristic(source, config)
     if client is None or attempts_path is None:

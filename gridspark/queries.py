@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
+from gridspark.functions import sql
 from gridspark.functions import text as T
 from gridspark.operators import assemble, grid, metrics, pages, runstats, verify, vote
 from gridspark.plans import derived as D
@@ -381,6 +382,25 @@ def text_fill(t: Tables) -> DataFrame:
     return out.select("k", "row_index", "col_index", "text", "text_source", "text_confidence")
 
 
+@_query(
+    f"""WITH {D.BOXES}, {D.TOKENS}, h AS (SELECT b.page, b.box_idx, t.token_idx, t.token, greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) AS i,
+  (t.x1 - t.x0) * (t.y1 - t.y0) AS a FROM boxes b JOIN tokens t ON b.page = t.page), g AS (SELECT page, box_idx, string_agg(token, ' ' ORDER BY token_idx) AS text FROM h WHERE i > 0 AND i / a >= 0.5 GROUP BY 1, 2)
+SELECT page, box_idx, g.text FROM boxes LEFT JOIN g USING (page, box_idx)"""
+)
+def token_fill(t: Tables) -> DataFrame:
+    none = {"text": F.lit(None).cast("string"), "text_confidence": F.lit(None).cast("double"), "text_source": F.lit("mock"), "page_index": F.lit(0), "row_index": F.lit(0), "col_index": F.lit(0)}
+    cells = D.boxes(t).withColumnRenamed("page", "doc_id").withColumns(none)
+    tokens = D.tokens(t).select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), "token_idx", F.col("token").alias("text"), F.col("tbox").alias("bbox"), F.col("token_confidence").alias("confidence"))
+    out = assemble.fill_from_tokens(cells, tokens, ["doc_id", "page_index", "box_idx"])
+    return out.select(F.col("doc_id").alias("page"), "box_idx", "text")
+
+
+@_query(f"WITH {D.BOXES} SELECT page, box_idx FROM boxes SEMI JOIN (SELECT page FROM boxes WHERE price > 1900) USING (page)")
+def region_semi(t: Tables) -> DataFrame:
+    b = D.boxes(t)
+    return b.join(b.filter("price > 1900").select("page"), "page", "left_semi").select("page", "box_idx")
+
+
 # --- position verification ------------------------------------------------------------------------------------------
 
 _IOU = """(greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)))"""
@@ -498,6 +518,17 @@ def _table_metrics(t: Tables) -> DataFrame:
     return metrics.table_metrics(_cell_metrics(t), ["k"]).withColumn("grid_shape_match", F.col("k") % 3 > 0)
 
 
+@_query()
+def wer_word(t: Tables) -> DataFrame:
+    return _texts(t).select("doc_id", _r(T.wer_word(F.col("a"), F.col("b"))).alias("wer"))
+
+
+@_query("SELECT p_partkey, 'Table ' || p_partkey || ': ' || n || ' must be positive, got ' || v AS error FROM (SELECT p_partkey, unnest(['n_rows', 'n_cols']) AS n, unnest([p_size % 4 - 1, p_size % 3]) AS v FROM part) WHERE v <= 0")
+def table_errors(t: Tables) -> DataFrame:
+    p = t("part").select("p_partkey", F.col("p_partkey").alias("table_idx"), (F.col("p_size") % 4 - 1).alias("n_rows"), (F.col("p_size") % 3).alias("n_cols"))
+    return metrics.table_errors(p, ["p_partkey"]).select("p_partkey", "error")
+
+
 @_query(f"{_CELLS} SELECT k, row_index, col_index, round(iou, 6) AS iou, text_match, round(cer, 6) AS cer, round(cer, 6) AS wer, span_match FROM cells")
 def cell_metrics(t: Tables) -> DataFrame:
     return _cell_metrics(t).withColumns({c: _r(F.col(c)) for c in ("iou", "cer", "wer")})
@@ -674,6 +705,13 @@ def sheet_name(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", T.sheet_name(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("sheet"))
 
 
+@_query("SELECT p_partkey, CASE WHEN p_retailprice >= 1500 THEN 'high' WHEN p_retailprice >= 1200 THEN 'medium' ELSE 'low' END AS band, p_name || ' &amp;' AS escaped, least(pow(2.0, p_size % 6), 10.0) AS wait FROM part")
+def sql_functions(t: Tables) -> DataFrame:
+    sql.register(t.spark)
+    band = F.expr("gs_confidence_band(if(p_retailprice >= 1500, 0.85, if(p_retailprice >= 1200, 0.7, 0.1)))")
+    return t("part").select("p_partkey", band.alias("band"), F.expr("gs_html_escape(p_name || ' &')").alias("escaped"), F.expr("gs_backoff(cast(p_size % 6 as int))").alias("wait"))
+
+
 @_query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages")
 def html_escape(t: Tables) -> DataFrame:
     return t("pages").select("page_id", F.md5(T.html_escape(F.col("html"))).alias("escaped"))

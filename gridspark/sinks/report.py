@@ -45,6 +45,32 @@ def overlay_shapes(regions: DataFrame, cells: DataFrame, keys: list[str]) -> Dat
     return r.union(cells.select(*keys, kind, "bbox", label))
 
 
+def overlays(shapes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Shapes in pixels and ``pages(keys, img_w, img_h)`` -> ``keys, png``: the outlines of a page's regions and cells.
+
+    One page's shapes meet in one row; the drawing is an Arrow function.
+    """
+    import pyarrow as pa
+
+    one = F.struct("kind", *[F.col(f"bbox.{s}").alias(s) for s in ("x0", "y0", "x1", "y1")])
+    rows = pages.select(*keys, "img_w", "img_h").join(shapes.groupBy(*keys).agg(F.collect_list(one).alias("shapes")), keys, "left")
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        import numpy as np
+
+        from gridspark.kernels import raster
+
+        for b in batches:
+            images = []
+            for w, h, found in zip(*(b.column(c).to_pylist() for c in ("img_w", "img_h", "shapes")), strict=True):
+                page = np.full((h, w), 255, np.uint8)
+                images.append(raster.png(raster.draw(page, [tuple(x.values()) for x in found or ()])))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(images, pa.binary())], [*keys, "png"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", png binary")
+
+
 def benchmark_report(metrics: Mapping[str, Any], interval: tuple[float, float] | None, folder: str | Path) -> None:
     """``report.json``, ``report.md`` and ``report.html`` of one run's metrics."""
     folder = Path(folder)

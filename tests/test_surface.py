@@ -183,3 +183,38 @@ def test_overlay_shapes(spark):
     r = spark.createDataFrame([(0, "section_1")], "page int, section_label string").withColumn("bbox", G.bbox(0.0, 0.0, 9.0, 9.0))
     c = spark.createDataFrame([(0, 1, 2, True)], "page int, row_index int, col_index int, is_filler boolean").withColumns({"bbox": G.bbox(0.0, 0.0, 1.0, 1.0), "structure_source": F.lit("filler")})
     assert sorted((x.kind, x.label) for x in report.overlay_shapes(r, c, ["page"]).collect()) == [("filler", "R1C2"), ("region", "section_1")]
+
+
+def test_overlays_are_images(spark):
+    shapes = spark.createDataFrame([(0, "region"), (0, "filler")], "page int, kind string").withColumn("bbox", G.bbox(1.0, 1.0, 8.0, 5.0))
+    pages = spark.createDataFrame([(0, 10, 8), (1, 10, 8)], "page int, img_w int, img_h int")
+    got = {r.page: bytes(r.png) for r in report.overlays(shapes, pages, ["page"]).collect()}
+    assert all(x.startswith(b"\x89PNG") for x in got.values()) and got[0] != got[1]
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from gridspark.functions import sql
+    from gridspark.functions import text as T
+
+    sql.register(spark)
+    df = spark.createDataFrame([("kitten", "sitting"), ("", ""), (None, "a b"), ("a  b", "a b")], "a string, b string")
+    got = df.select(F.expr("gs_cer(a, b)"), T.cer(F.col("a"), F.col("b")), F.expr("gs_wer_char(a, b)"), T.wer_char(F.col("a"), F.col("b"))).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got)
+    boxes = spark.range(1).select(G.bbox(0.0, 0.0, 10.0, 10.0).alias("a"), G.bbox(5.0, 5.0, 15.0, 15.0).alias("b"))
+    assert boxes.select(F.expr("gs_iou(a, b)")).first()[0] == pytest.approx(25 / 175)
+    models = spark.createDataFrame([(m,) for m in ("gpt-4o", "x", "gemini-2.5", "y-flash", "z-3-pro")], "m string")
+    both = models.select(F.expr("gs_cost_usd(1000000, 500000, m)"), T.cost_usd(F.lit(1_000_000), F.lit(500_000), F.col("m"))).collect()
+    assert all(r[0] == pytest.approx(r[1]) for r in both)
+
+
+def test_cell_calls(spark):
+    import numpy as np
+
+    from gridspark.clients import llm
+
+    gray = np.full((40, 60), 255, np.uint8)
+    assert llm.crop(gray, (0, 0, 10, 10)) != llm.crop(gray, None) == llm.crop(gray, (100, 100, 120, 120))
+    cells = spark.createDataFrame([(1, 0, 0, bytearray(b"x")), (1, 0, 1, None)], "k int, row_index int, col_index int, image binary")
+    good = llm.call_cells(cells, llm.Recorded({("m", -1): " text "}), "m", ["k"]).collect()
+    assert [(r.k, r.answer, r.error) for r in good] == [(1, "text", None)] * 2
+    assert "LookupError" in llm.call_cells(cells, llm.Recorded(), "m", ["k"]).first()["error"]
