@@ -13,6 +13,8 @@ a unary bit string with a one for each value, and ``select`` finds the i-th one
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .hashing import word_hashes
 
 MAGIC = b"GSEF0001"
 END_ID = 1
 #: Ids of a block; a file ends with the document that reaches it.
-BLOCK_IDS = 8 << 20
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+BLOCK_IDS = 4 << 20
+#: Words whose ids a worker remembers, about 30 bytes each.
+CACHE_WORDS = 2_000_000
+#: Characters that are encoded together.
+PORTION = 2 << 20
 SAMPLE = 512
 TOKENIZER = "word_bpe_49k.json"
 
@@ -135,69 +140,130 @@ class Block:
         return np.concatenate([[0], self._ends.all().astype(np.int64)])
 
 
-@lru_cache(1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Vocabulary:
+    """A tokenizer and the ids of the words that it has met, in flat arrays sorted by the words' hashes.
 
-    return Tokenizer.from_file(path), {}
+    White space never lies inside a token of this tokenizer and is dropped by it, so a text is the sequence of its
+    words, and a word is encoded once for all its occurrences. Words end at the space and the line feed only; other
+    white space stays in the word that the tokenizer gets. A full stop or comma that ends a word after a-z is a token
+    sequence of its own. Words are told apart by 64 bits of hash, among CACHE_WORDS at a time.
+    """
 
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core, and threads keep memory of their own
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.starts = np.empty(0, np.int32)
+        self.sizes = np.empty(0, np.int32)
+        self.flat = np.empty(0, f"<u{self.width}")
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, sizes = [], []
+        for i in range(0, len(words), 20_000):
+            for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False):
+                x = e.ids
+                ids += x
+                sizes.append(len(x))
+        size = np.array(sizes, np.int64)
+        start = len(self.flat) + np.cumsum(size) - size
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        start, size = start.astype(np.int32), size.astype(np.int32)
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.starts = np.insert(self.starts, at, start[order])
+        self.sizes = np.insert(self.sizes, at, size[order])
+        self.flat = np.concatenate([self.flat, np.array(ids, self.flat.dtype)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text ends in them."""
+        if len(texts) == 1 and len(texts[0]) > 2 * PORTION:
+            found = [self.encode([x])[0] for x in _pieces(texts[0])]
+            return np.concatenate(found), np.array([sum(map(len, found))])
+        if len(self.hashes) > CACHE_WORDS:
+            self.clear()
+        data = [(x if _FOREIGN.search(x) else x.lower()).encode() for x in texts]
+        raw = b"\n".join(data)
+        starts, ends, h = word_hashes(raw, b" \n", _split_marks)
+        coded = pa.array(h).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            first = np.empty(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            words = [raw[a:z].decode() for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            self._learn(distinct[new], words)
+            at = np.searchsorted(self.hashes, distinct)
+        size = self.sizes[at][codes].astype(np.int64)
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(self.starts[at][codes] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        last = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in data]))  # words that begin before each text's end
+        return ids, np.concatenate([[0], upto])[last]
+
+
+#: This tokenizer lower-cases after composing; below U+0300 nothing composes, so texts can be lower-cased beforehand, but
+#: for those that may hold a special token, whose case counts.
+_FOREIGN = re.compile(r"[^\x00-\u02ff]|<\|")
+
+
+def _split_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    before, last = raw[ends - 2], raw[ends - 1]
+    mark = (ends - starts > 1) & ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122)
+    twice = 1 + mark
+    second = np.cumsum(twice)[mark] - 1
+    a, z = np.repeat(starts, twice), np.repeat(ends, twice)
+    a[second] = ends[mark] - 1
+    z[second - 1] = ends[mark] - 1
+    return a, z
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of about PORTION characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PORTION)
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+_GAP = re.compile("[ \n]")
 
-def encode_texts(texts: list[str], path: str, width: int) -> list[bytes]:
-    """The ids of each text as ``width``-byte integers, without the end id.
 
-    White space never lies inside a token of this tokenizer and is dropped by it, so a text is the sequence of its
-    words, and a worker encodes a word once. Words end at the space and the line feed only; other white space stays
-    in the word that the tokenizer gets. A word's trailing run of marks is a token sequence of its own after letters.
-    """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    split = [x.replace("\n", " ").split(" ") for x in texts]
-    keys: set[str] = set()
-    for words in split:
-        keys.update(words)
-    new = [w for w in keys if w not in known]
-    parts = {}
-    for w in new:
-        bare = w.rstrip(_MARKS)
-        parts[w] = (bare, w[len(bare) :]) if bare.isalpha() and len(bare) < len(w) else (w, "")
-    fresh = list({p for x in parts.values() for p in x if p not in known})
-    kind = f"<u{width}"
-    for i in range(0, len(fresh), 10_000):
-        some = fresh[i : i + 10_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
-    for w, (a, b) in parts.items():
-        known[w] = known[a] + known[b]
-    return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-#: ASCII marks that start no special token and no contraction.
-_MARKS = ".,;:!?|)]}%&$#*+-"
-
-
-def _writer(path: str, width: int, block_ids: int):
+@lru_cache(1)
+def _vocabulary(path: str) -> Vocabulary:
+    """A worker's own, kept from task to task."""
+    return Vocabulary(path)
+
+
+def _writer(path: str, block_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block, before = TaskContext.get().partitionId(), 0, 0
+        vocabulary = _vocabulary(path)
         docs: list[int | None] = []
         ids: list[bytes] = []
         ends: list[int] = []
-        n, end_id = 0, END_ID.to_bytes(width, "little")
+        n, end_id = 0, END_ID.to_bytes(vocabulary.width, "little")
 
         def flush() -> pa.RecordBatch:
-            data = write_block(part, block, before, docs, b"".join(ids), np.array(ends, np.int64), width)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.large_binary()).cast(pa.binary())], ["data"])
+            data = write_block(part, block, before, docs, b"".join(ids), np.array(ends, np.int64), vocabulary.width)
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for b in batches:
-            texts = b.column(1)
-            for i in range(0, len(texts), 256):
-                some = [x or "" for x in texts.slice(i, 256).to_pylist()]
-                for doc_id, x in zip(b.column(0).slice(i, 256).to_pylist(), encode_texts(some, path, width), strict=True):
+            for names, texts in _portions(b):
+                flat, bounds = vocabulary.encode(texts)
+                for doc_id, a, z in zip(names, [0, *bounds.tolist()], bounds.tolist(), strict=False):
                     docs.append(doc_id)
-                    ids += [x, end_id]
-                    n += len(x) // width + 1
+                    ids += [flat[a:z].tobytes(), end_id]
+                    n += z - a + 1
                     ends.append(n)
                     if n >= block_ids:
                         yield flush()
@@ -209,6 +275,20 @@ def _writer(path: str, width: int, block_ids: int):
     return write
 
 
+def _portions(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """A batch in runs of rows of about PORTION characters, a longer text alone."""
+    names, texts, size = [], [], 0
+    for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+        names.append(doc_id.as_py())
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= PORTION:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def vocabulary_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -223,12 +303,11 @@ def write_token_files(docs: DataFrame, where: str, tokenizer: str | None = None,
     block. The one shuffle deals rows out by range, so a task sees a run of ids in order and holds one block.
     """
     path = tokenizer or vocabulary_path()
-    width = 2 if _tokenizer(path)[0].get_vocab_size() <= 1 << 16 else 4
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     rows = rows.repartitionByRange(parts, "doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
-    data = rows.mapInArrow(_writer(path, width, block_ids), "data binary")
+    data = rows.mapInArrow(_writer(path, block_ids), "data binary")
     data.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(where)
 
 
