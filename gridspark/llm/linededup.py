@@ -14,13 +14,14 @@ MIN_PAGES = 3
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 INLINE = r"(?i)</?(?:a|abbr|b|big|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u)\b[^>]*>"
 TAG = r"<[^>]*>"
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def lines(html: Column) -> Column:
     """The lines that a page shows: text between other than inline tags, and between line ends, trimmed; none are empty."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
     text = F.regexp_replace(F.regexp_replace(text, INLINE, ""), TAG, "\n")
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]*[\x0A-\x0D][\x20\x09-\x0D]*"), "")
+    return F.array_remove(F.transform(F.split(text, r"[\x0A-\x0D][\x20\x09-\x0D]*"), lambda x: F.btrim(x, F.lit(BLANK))), "")
 
 
 def _rows(pages: DataFrame) -> DataFrame:

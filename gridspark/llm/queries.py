@@ -120,7 +120,8 @@ OP9_SQL = rf"""
 WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
   regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{linededup.HIDDEN}', chr(10), 'g'), '{linededup.INLINE}', '', 'g'), '{linededup.TAG}', chr(10), 'g') AS text FROM pages),
-l AS (SELECT page_id, host, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]*[\x0A-\x0D][\x20\x09-\x0D]*'), lambda x: x <> '') AS lines FROM p),
+l AS (SELECT page_id, host, list_filter(list_transform(regexp_split_to_array(text, '[\x0A-\x0D]'),
+  lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12))), lambda x: x <> '') AS lines FROM p),
 c AS (SELECT host, x, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS x FROM l WHERE host <> '') GROUP BY 1, 2),
 t AS (SELECT host, count(*) AS total FROM p GROUP BY 1),
 b AS (SELECT host, list(x) AS xs FROM c JOIN t USING (host) WHERE n >= {linededup.MIN_PAGES} AND 10 * n > {linededup.RATIO_TENTHS} * total GROUP BY 1),
