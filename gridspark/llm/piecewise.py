@@ -10,18 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import Powers, sums
+
 #: Bytes that decide on a boundary.
 WINDOW = 7
 MIN_BLOCK = 1
 #: Chunks aimed at; the block size is MIN_BLOCK times a power of two.
 LENGTH = 64
-#: Documents of a range of doc_ids that a task takes in order, on average.
-RANGE_ROWS = 4096
 
 _SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
-_BASE = 0x5851F42D4C957F2D
-_BLOCK = 1 << 20
+_POWERS = Powers(0x5851F42D4C957F2D)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -39,32 +38,14 @@ def _rolling(raw: np.ndarray) -> np.ndarray:
     return _scramble(out)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))
-    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
-    return up, down
-
-
-_UP, _DOWN = _powers(1 << 16)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) <= n:
-        _UP, _DOWN = _powers(2 * n)
-    return _UP, _DOWN
-
-
 class _Text:
-    """What the block sizes of a text share: its rolling hashes and the sums that give any chunk's hash."""
+    """What the block sizes of a text share: its rolling hashes and the sums that give any chunk's hash (30 bytes a byte)."""
 
     def __init__(self, data: bytes) -> None:
         raw = np.frombuffer(data, np.uint8)
         self.n = len(raw)
         self.roll = _rolling(raw)
-        up, self.down = _tables(self.n)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: self.n], out=self.sums[1:])
+        self.sums, self.down = sums(raw.astype(np.uint64) + np.uint64(1), _POWERS)
 
     def signature(self, block: int) -> bytes:
         cut = np.flatnonzero(self.roll % np.uint32(block) == np.uint32(block - 1)) + 1
