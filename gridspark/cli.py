@@ -8,12 +8,13 @@ import sys
 from dataclasses import MISSING, fields
 from pathlib import Path
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gridspark import config as C
 from gridspark import log, manifest
 from gridspark.clients.llm import provider
+from gridspark.operators import order
 from gridspark.plans import extract as E
 from gridspark.schemas import TABLE_KEY
 from gridspark.sinks import files, report, xlsx
@@ -60,7 +61,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     found = spark.read.format("binaryFile").load(args.input).select("path", "content")
     client = provider(cfg.llm_provider, cfg.llm_model or "", cfg.llm_api_key or "") if cfg.extraction_strategy != "heuristic" else None
     got = E.extract(found, cfg, client, f"{where}/attempts")
-    tables = got.rows().withColumn("table_no", F.row_number().over(Window.orderBy(*TABLE_KEY)) - 1)  # a row for each table
+    tables = order.number(got.rows(), *TABLE_KEY, name="table_no").withColumn("table_no", F.col("table_no").cast("int"))
     stats = got.stats().first().asDict(recursive=True)
     logger.info("extracted", extra={"run_id": id_, "tables": stats["tables_extracted"]})
     files.OutputSink("filesystem", args.output).write(id_, manifest.create(cfg, id_=id_), stats, tables.select("table_no", "columns", "rows"))

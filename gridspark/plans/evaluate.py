@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators import metrics
+from gridspark.operators import metrics, order
 
 
 @dataclass
@@ -35,5 +35,4 @@ def evaluate(predicted: DataFrame, truth: DataFrame, replicates: int = 1000, con
     tables = tables.fillna({"avg_cell_iou": 0.0, "exact_match_rate": 0.0, "span_accuracy": 0.0, "avg_cer": 1.0, "avg_wer": 1.0, "n_cells": 0})
     n_truth = t.count()
     run = metrics.run_metrics(tables, F.lit(n_truth))
-    ordered = tables.withColumn("ord", (F.row_number().over(Window.orderBy("table_id")) - 1).cast("bigint"))  # one row a table
-    return Evaluation(cells, tables, run, metrics.bootstrap(ordered, n_truth, replicates, confidence, seed), p.join(t, "table_id", "left_anti"))
+    return Evaluation(cells, tables, run, metrics.bootstrap(order.number(tables, "table_id"), n_truth, replicates, confidence, seed), p.join(t, "table_id", "left_anti"))

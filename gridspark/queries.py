@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import geometry as G
 from gridspark.functions import sql
 from gridspark.functions import text as T
-from gridspark.operators import assemble, grid, metrics, pages, runstats, verify, vote
+from gridspark.operators import assemble, grid, metrics, order, pages, runstats, verify, vote
 from gridspark.plans import derived as D
 from gridspark.plans.derived import Tables
 from gridspark.schemas import JOB_STATUSES
@@ -569,11 +569,8 @@ f AS (SELECT r, {_h('iou', 'span')} AS sf, {_h('1 - cer', 'exact')} AS tf FROM m
 
 @_query(f"{_BOOT} SELECT round(x[6], 6) AS lower, round(x[196], 6) AS upper FROM o")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     some = _table_metrics(t).filter("k % 50 = 0")
-    some = some.withColumn("ord", (F.row_number().over(Window.orderBy("k")) - 1).cast("bigint"))
-    out = metrics.bootstrap(some, 1, replicates=200)
+    out = metrics.bootstrap(order.number(some, "k"), 1, replicates=200)
     return out.select(_r(F.col("lower")).alias("lower"), _r(F.col("upper")).alias("upper"))
 
 
@@ -621,6 +618,11 @@ def table_match(t: Tables) -> DataFrame:
     return found.select("table_id", "v", "gt.w", F.lit("matched").alias("kind")).union(rest.select("table_id", "v", F.lit(-1).cast("bigint"), F.lit("unmatched")))
 
 
+@_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
+def table_order(t: Tables) -> DataFrame:
+    return order.number(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", name="place").select("o_orderkey", "place")
+
+
 # --- runs, manifests, formats ---------------------------------------------------------------------------------------
 
 

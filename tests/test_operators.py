@@ -285,3 +285,14 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     c = spark.createDataFrame(rows, "k int, attempt int, rows array<array<string>>").withColumn("n_cols", F.lit(1)).repartition(parts)
     got = sorted(map(tuple, vote.vote_cells(c, ["k"]).collect()))
     assert got == sorted(map(tuple, vote.vote_cells(c.coalesce(1), ["k"]).collect()))
+
+
+@pytest.mark.parametrize("stretch", [50_000, 7, 300])
+def test_numbering_does_not_depend_on_the_cuts(spark, monkeypatch, stretch):
+    from gridspark.operators import order
+
+    monkeypatch.setattr(order, "STRETCH", stretch)
+    df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("a"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("b"))
+    got = [(r.b, r.a, r.ord) for r in order.number(df.repartition(5), "b", "a").collect()]
+    want = sorted(((r.b, r.a) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert sorted(got, key=lambda x: x[2]) == [(b, a, i) for i, (b, a) in enumerate(want)]
