@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import urls
+from . import scratch, urls
 
+#: Lines (or hosts) that are broadcast at most, of about 10 (100) bytes each; beyond it pages are shuffled by host and salt.
+MAX_BROADCAST = 1_000_000
+SALTS = 64
 #: Boilerplate: in more than RATIO of the host's pages, and in MIN_PAGES of them at least. Tenths, for exact comparison.
 RATIO_TENTHS = 3
 MIN_PAGES = 3
@@ -39,17 +42,28 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
     count = rows.select("host", F.explode(hashes).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
     total = pages.select(urls.host(F.col("url")).alias("host")).filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    common = count.join(total, "host").filter(10 * F.col("n") > RATIO_TENTHS * F.col("total"))
+    total = scratch.table(total, "hosts")  # both sides of the join are plain exchanges then, which AQE can split
+    common = count.join(_small(total, total.count()), "host").filter(10 * F.col("n") > RATIO_TENTHS * F.col("total"))
     return common.groupBy("host").agg(F.collect_list("h").alias("hashes"))
 
 
+def _small(side: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(side) if rows <= MAX_BROADCAST else side
+
+
 def drop_boilerplate(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages(page_id, url, html, ...)``: ``page_id, host, n_lines, n_dropped, kept``.
 
     ``kept`` joins the other lines by line feeds. Every row is a page, repeated ones too; pages without a host lose
     nothing; null html has no lines. Other columns are ignored.
     """
-    rows = _rows(pages).join(boilerplate(pages), "host", "left")
+    common = scratch.table(boilerplate(pages), "boilerplate")
+    size = common.agg(F.coalesce(F.sum(F.size("hashes") + 8), F.lit(0))).first()[0]
+    rows, key = _rows(pages), ["host"]
+    if size > MAX_BROADCAST:  # every host's pages are dealt over SALTS tasks, and its lines go to each of them
+        rows, key = rows.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int")), ["host", "salt"]
+        common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(_small(common, size), key, "left")
     kept = F.when(F.col("hashes").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("hashes"), F.xxhash64(x))))
     rows = rows.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.explode(F.array(kept)).alias("kept"))
     return rows.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
