@@ -19,10 +19,17 @@ THRESHOLD = 0.7
 #: The bounded training sample: rows of each class, and the characters of a text that the driver takes of each.
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
-#: Words of the learned lexicon, and the texts of the class that a word must be in.
+#: Words, and beginnings of words, in the learned lexicon, the toxic texts that one must be in, and the least log odds.
 LEXICON = 200
-MIN_TEXTS = 8
-TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 64
+MIN_TEXTS = 5
+MIN_ODDS = 3.0
+#: Clean texts that a term is taken to be in besides those seen, so that rare terms need many toxic texts.
+UNSEEN = 2.0
+#: Lengths of the beginnings, which catch stems whose endings vary.
+STEMS = (4, 5, 6)
+TREES, DEPTH, RATE, BINS = 80, 3, 0.2, 64
+#: Share of the trees' own probability in the targets of the calibration, which keeps it smooth where classes are far apart.
+PRIOR = 0.5
 #: Words between a term and a second-person word that still count as close.
 NEAR = 5
 
@@ -32,6 +39,14 @@ YOU = "you your yours yourself u ur tu te toi vous votre vos du dich dir dein ih
 # Marks that stand for letters.
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "_": "", ".": "", "-": ""}
 
+@dataclass
+class Lexicon:
+    """Learned terms and their weights."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
+
+
 _KIND = np.zeros(256, np.int64)  # 1 upper, 2 lower, 3 digit, 4 ! and ?, 5 other marks, 6 beyond ASCII
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 1, 2, 3, 6
 for _c in range(33, 127):
@@ -50,15 +65,25 @@ def _bare(word: str) -> str:
     return _EDGE.sub("", word)
 
 
-def features(text: str, learned: dict[str, float]) -> list[float]:
+def features(text: str, lexicon: Lexicon) -> list[float]:
     """Densities by word or byte, all finite for any text, and independent of the text's order except for closeness."""
     words = words_of(text)
     n = max(1, len(words))
     counts = Counter(words)
     strong = fixed = hidden = weight = 0.0
     best, terms = 0.0, set()
+    stems = stem_weight = stem_best = 0.0
+    kinds = set()
     odd = []
+    learned, beginnings = lexicon.words, lexicon.stems
     for w, k in counts.items():
+        for size in STEMS:
+            if (stem := w[:size]) in beginnings and len(w) > size:
+                stems += k
+                stem_weight += k * beginnings[stem]
+                stem_best = max(stem_best, beginnings[stem])
+                kinds.add(w)
+                break
         if (b := w if w.isalpha() else _bare(w)) in learned:
             strong += k
             weight += k * learned[b]
@@ -87,7 +112,7 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     letters, size = max(1.0, raw[1] + raw[2]), max(1.0, raw[1:].sum())
     return [
         strong / n, math.log1p(strong), weight / n, best, fixed / n, math.log1p(fixed), hidden / n, len(odd) / n, you / n,
-        close / n, math.log1p(close), raw[1] / letters, raw[3] / size, raw[4] / size, raw[5] / size, raw[6] / size,
+        close / n, math.log1p(close), stems / n, math.log1p(stems), stem_weight / n, stem_best, math.log1p(len(kinds)), raw[1] / letters, raw[3] / size, raw[4] / size, raw[5] / size, raw[6] / size,
         math.log1p(len(words)), len(counts) / n,
     ]
 
@@ -112,15 +137,20 @@ def _without_copies(texts: list[str]) -> list[int]:
     return kept
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray) -> dict[str, float]:
-    """Words that mark the toxic class: log odds of the texts that hold them, for those in MIN_TEXTS toxic texts or more."""
-    inside = [Counter(), Counter()]
+def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
+    """Words and stems that mark the toxic class: log odds of the texts that hold them, for those in MIN_TEXTS toxic texts or more."""
+    inside, stems = [Counter(), Counter()], [Counter(), Counter()]
     for text, y in zip(texts, labels, strict=True):
-        inside[int(y)].update({b for w in set(words_of(text)) if (b := _bare(w))})
+        words = {b for w in set(words_of(text)) if (b := _bare(w))}
+        inside[int(y)].update(words)
+        stems[int(y)].update({w[:k] for w in words for k in STEMS if len(w) > k})
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-    odds = {w: math.log((k + 0.5) / (n1 + 1)) - math.log((inside[0][w] + 0.5) / (n0 + 1)) for w, k in inside[1].items() if k >= MIN_TEXTS}
-    best = sorted((-v, w) for w, v in odds.items() if v > 2)[:LEXICON]
-    return {w: -v for v, w in best}
+
+    def best(count: list[Counter]) -> dict[str, float]:
+        odds = {w: math.log(k / n1) - math.log((count[0][w] + UNSEEN) / n0) for w, k in count[1].items() if k >= MIN_TEXTS}
+        return {w: -v for v, w in sorted((-v, w) for w, v in odds.items() if v > MIN_ODDS)[:LEXICON]}
+
+    return Lexicon(best(inside), best(stems))
 
 
 @dataclass
@@ -139,7 +169,7 @@ class Tree:
         return self.leaf[at - (2**DEPTH - 1)]
 
 
-def _grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> Tree:
+def _grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, some: np.ndarray) -> Tree:
     inner = 2**DEPTH - 1
     tree = Tree(np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(2**DEPTH))
     at = np.zeros(len(x), np.int64)
@@ -148,7 +178,7 @@ def _grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], g: np.ndarra
         best = 1e-9
         if len(rows) >= 20:
             gs, hs = g[rows].sum(), h[rows].sum()
-            for f in range(x.shape[1]):
+            for f in some:
                 b = bins[rows, f]
                 gl = np.cumsum(np.bincount(b, g[rows], BINS + 1))[: len(edges[f])]
                 hl = np.cumsum(np.bincount(b, h[rows], BINS + 1))[: len(edges[f])]
@@ -169,14 +199,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
-    """Trees on the logistic loss, cuts at quantiles of each feature."""
+    """Trees on the logistic loss, cuts at quantiles of each feature.
+
+    Every tree sees its own half of the features, so that a text with some of the signs is judged by all of them.
+    """
+    rng = np.random.default_rng(11)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     start = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     score, trees = np.full(len(y), start), []
     for _ in range(TREES):
         p = _sigmoid(score)
-        trees.append(_grow(x, bins, edges, p - y, p * (1 - p)))
+        some = np.sort(rng.permutation(x.shape[1])[: (x.shape[1] + 1) // 2])
+        trees.append(_grow(x, bins, edges, p - y, p * (1 - p), some))
         score = score + trees[-1].predict(x)
     return start, trees
 
@@ -199,7 +234,7 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 @dataclass
 class Model:
-    learned: dict[str, float] = field(default_factory=dict)
+    learned: Lexicon = field(default_factory=Lexicon)
     start: float = 0.0
     trees: list[Tree] = field(default_factory=list)
     knots: tuple[np.ndarray, np.ndarray] | None = None
@@ -217,27 +252,29 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], weights: dict[int, float] | None = None, seed: int = 3) -> Model:
-    """Lexicon, trees and calibration from labelled texts; ``weights`` say how many texts one of each class stands for.
+    """Lexicon and trees from all labelled texts, calibration from scores that models of two thirds give the other third.
 
-    Scores are calibrated on texts whose lexicon and trees were learned from the others, in three parts, so the words
-    that only the training texts share gain nothing.
+    ``weights`` say how many texts one of each class stands for. A text is never scored by a model that learned from it
+    or from a near copy, so words that mark only the training texts gain nothing.
     """
     kept = _without_copies(texts)
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model()
-    part = np.random.default_rng(seed).integers(0, 3, len(y))
-    held = np.zeros(len(y))
+    part = np.empty(len(y), int)
+    for v in (0, 1):  # a third of each class in each part
+        rows = np.random.default_rng(seed).permutation(np.flatnonzero(y == v))
+        part[rows] = np.arange(len(rows)) % 3
+    model = _fit(texts, y)
+    raw = model.raw(np.array([features(t, model.learned) for t in texts]))
     for k in range(3):
         ins, out = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        if len(set(y[ins])) < 2 or not len(out):
-            continue
-        m = _fit([texts[i] for i in ins], y[ins])
-        held[out] = m.raw(np.array([features(texts[i], m.learned) for i in out]))
-    model = _fit(texts, y)
+        if len(out) and len(set(y[ins])) == 2:
+            m = _fit([texts[i] for i in ins], y[ins])
+            raw[out] = m.raw(np.array([features(texts[i], m.learned) for i in out]))
     w = np.array([(weights or {}).get(int(v), 1.0) for v in y])
-    model.knots = isotonic(held, y, w)
+    model.knots = isotonic(raw, (1 - PRIOR) * y + PRIOR * _sigmoid(raw), w)
     return model
 
 

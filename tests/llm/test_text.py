@@ -234,7 +234,7 @@ def test_isotonic_is_the_least_squares_monotone_fit():
 
 def test_features_are_finite_for_odd_texts():
     for t in ["", " ", "\x00", "a" * 100_000, "you " * 5000, "!?!?", "é" * 10, "idiot"]:
-        assert np.isfinite(toxicity.features(t, {"grob": 3.0})).all()
+        assert np.isfinite(toxicity.features(t, toxicity.Lexicon({"grob": 3.0}, {"grob": 2.0}))).all()
 
 
 def test_without_both_classes_scores_are_zero(spark):
