@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from gridspark.schemas import RESPONSE
 
@@ -49,10 +50,42 @@ def is_placeholder(text: Column) -> Column:
     return F.coalesce(F.lower(text).isin(*PLACEHOLDERS), F.lit(True))
 
 
-def cer(predicted: Column, truth: Column) -> Column:
-    """Character error rate; may exceed 1. An empty truth gives 0 for an empty prediction, else 1."""
+def _distance(a: Sequence, b: Sequence) -> int:
+    """The edit distance of two sequences; a whole line of its table at a time, as the bits of one integer (Myers, Hyyrö)."""
+    start, m, n = 0, len(a), len(b)
+    while start < min(m, n) and a[start] == b[start]:
+        start += 1
+    while min(m, n) > start and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    a, b = (a[start:m], b[start:n]) if m <= n else (b[start:n], a[start:m])
+    same = {x: bytearray(len(b) // 8 + 1) for x in set(a)}
+    for i, x in enumerate(b):
+        if x in same:
+            same[x][i >> 3] |= 1 << (i & 7)
+    same = {x: int.from_bytes(bits, "little") for x, bits in same.items()}
+    every = (1 << len(b)) - 1
+    up, down = every, 0  # where the line grows, and falls, from one place of b to the next
+    for x in a:
+        eq = same[x] | down
+        level = ((((eq & up) + up) ^ up) | eq) & every
+        fell, grew = up & level, ((down | (every ^ (up | level))) << 1 | 1) & every
+        up, down = (fell << 1 | (every ^ (grew | level))) & every, grew & level
+    return len(a) + up.bit_count() - down.bit_count()
+
+
+@F.pandas_udf(LongType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The edit distance of two texts or two arrays of any length; ``levenshtein`` goes cell by cell and takes no arrays."""
+    return pd.Series([None if x is None or y is None else _distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def cer(predicted: Column, truth: Column, distance: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
+    """Character error rate; may exceed 1. An empty truth gives 0 for an empty prediction, else 1.
+
+    ``distance`` is for texts that are long enough for :func:`edit_distance`.
+    """
     p, t = F.coalesce(predicted, F.lit("")), F.coalesce(truth, F.lit(""))
-    return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / F.length(t))
+    return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).otherwise(distance(p, t) / F.length(t))
 
 
 def _spaced(words: Column) -> Column:
@@ -63,24 +96,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{WHITE}+"), lambda x: x != "")
 
 
-def wer_char(predicted: Column, truth: Column) -> Column:
+def wer_char(predicted: Column, truth: Column, distance: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
     """The error rate of the space-normalised texts, counted in characters."""
-    return cer(_spaced(words(predicted)), _spaced(words(truth)))
+    return cer(_spaced(words(predicted)), _spaced(words(truth)), distance)
 
 
 def wer_word(predicted: Column, truth: Column) -> Column:
     """The word error rate proper: edit distance of the word sequences over the words of the truth."""
     a, b = words(predicted), words(truth)
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            change = F.get(prev, j - 1) + F.when(F.get(b, j - 1) == x, 0).otherwise(1)
-            return F.concat(cur, F.array(F.least(F.get(prev, j) + 1, F.element_at(cur, -1) + 1, change)))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.get(prev, F.lit(0)) + 1), cell)
-
-    distance = F.element_at(F.aggregate(a, F.sequence(F.lit(0), F.size(b)), row), -1)
-    return F.when(F.size(b) == 0, F.when(F.size(a) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.size(b))
+    return F.when(F.size(b) == 0, F.when(F.size(a) == 0, 0.0).otherwise(1.0)).otherwise(edit_distance(a, b) / F.size(b))
 
 
 def _folded(text: Column) -> Column:

@@ -484,12 +484,12 @@ _TEXTS = f"SELECT doc_id, left(t, 60) AS a, left(replace(t, 'e', ' a '), 64) AS
 
 def _texts(t: Tables) -> DataFrame:
     d = t("documents").withColumn("t", F.regexp_replace("text", _PLAIN, "?"))
-    return d.select("doc_id", F.substring("t", 1, 60).alias("a"), F.substring(F.replace("t", F.lit("e"), F.lit(" a ")), 1, 64).alias("b"))
+    return d.select("doc_id", F.col("t").alias("a"), F.replace("t", F.lit("e"), F.lit(" a ")).alias("b"))
 
 
 @_query(f"SELECT doc_id, CASE WHEN b = '' THEN CASE WHEN a = '' THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(a, b) / length(b), 6) END AS cer FROM ({_TEXTS})")
 def cer(t: Tables) -> DataFrame:
-    return _texts(t).select("doc_id", _r(T.cer(F.col("a"), F.col("b"))).alias("cer"))
+    return _texts(t).select("doc_id", _r(T.cer(F.col("a"), F.col("b"), T.edit_distance)).alias("cer"))
 
 
 _WS = r"'[\s]+'"
@@ -500,7 +500,7 @@ _WS = r"'[\s]+'"
   (SELECT doc_id, trim(regexp_replace(a, {_WS}, ' ', 'g')) AS a, trim(regexp_replace(b, {_WS}, ' ', 'g')) AS b FROM ({_TEXTS}))"""
 )
 def wer_char(t: Tables) -> DataFrame:
-    return _texts(t).select("doc_id", _r(T.wer_char(F.col("a"), F.col("b"))).alias("wer"))
+    return _texts(t).select("doc_id", _r(T.wer_char(F.col("a"), F.col("b"), T.edit_distance)).alias("wer"))
 
 
 _CELLS = f"""WITH {D.READINGS}, {D.cells_sql('p', 1)}, {D.cells_sql('t', 0)}, m AS (SELECT k, row_index, col_index, p.text AS a, t.text AS b, p.row_span = t.row_span AS span_match,

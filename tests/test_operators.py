@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridspark import queries as Q
 from gridspark.functions import geometry as G
 from gridspark.functions import text as T
 from gridspark.operators import assemble, grid, metrics, pages, runstats, verify, vote
@@ -71,6 +74,28 @@ def test_word_error_rate_is_the_edit_distance_of_words(spark):
     assert [round(r[0], 6) for r in got] == [round(_edit(a.split(), b.split()) / len(b.split()), 6) for a, b in rows]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_long_texts_and_word_lists_have_the_plain_edit_distance(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        a, b = ([r.choice("abcé") for _ in range(r.choice((0, 1, 7, 64, 65, 150)))] for _ in range(2))
+        assert T._distance(a, b) == T._distance("".join(a), "".join(b)) == T._distance(np.array(b, object), np.array(a, object)) == _edit(a, b)
+
+
+def test_error_rate_queries_take_whole_documents(spark, tmp_path):
+    same = "x" * 70
+    texts = [same + " well seen", same + " " + "the tree " * 40, "e", "", None, "\u00e9 e  e"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = {i: (a := "".join(c if " " <= c <= "~" else "?" for c in t or ""), a.replace("e", " a ")) for i, t in rows}
+    rate = lambda a, b: round(_edit(a, b) / len(b), 6) if b else float(bool(a))
+    how = {"cer": lambda x: x, "wer_char": lambda x: " ".join(x.split()), "wer_word": str.split}
+    for name, form in how.items():
+        got = {r[0]: r[1] for r in Q.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {i: rate(form(a), form(b)) for i, (a, b) in plain.items()}
+        assert got[0] > 0 and got[1] > 0
+
+
 FENCES = [("  {}  ", "{}"), ("```json\n{}\n```", "{}"), ("```\n{}\n```", "{}"), ("x ```json\n{}\n``` y", "{}"), ("```{}```", "{}"), ("no fence", "no fence")]
 
 
