@@ -161,6 +161,25 @@ def test_clusters_equal_the_first_match_rule(spark, xs, limit):
     assert [(c.center, c.n) for c in got] == _first_match([float(x) for x in xs], limit)
 
 
+def test_line_queries_take_every_line(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(k % 7, k, 1 + k % 4, float(r.randrange(1, 51))) for k in range(900)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    xs = {s: sorted(q * 7 + n for k, _, n, q in rows if k == s) for s in range(7)}
+    clusters = [(s, i, c, n) for s, x in xs.items() for i, (c, n) in enumerate(_first_match(x, 3.0))]
+    assert sum(c[3] for c in clusters) == len(rows)
+    assert sorted(map(tuple, Q.queries()["greedy_cluster"](spark, str(tmp_path)).collect())) == clusters
+    want = []
+    for s, x in xs.items():
+        merged, kept = [], []
+        for v in x:
+            merged = [*merged[:-1], (merged[-1] + v) / 2] if merged and v - merged[-1] <= 2 else [*merged, v]
+        for v in merged:
+            kept += [v] if not kept or v - kept[-1] >= 4 else []
+        want.append((s, len(kept), pytest.approx(sum(kept))))
+    assert sorted(map(tuple, Q.queries()["line_merge"](spark, str(tmp_path)).collect())) == want
+
+
 def test_relaxed_settings_round_halves_to_even():
     c = {"min_line_length": 41, "gap_tolerance": 5, "horizontal_kernel": (25, 1), "vertical_kernel": (1, 25), "morph_iterations": 2, "min_line_separation": 5}
     r = grid.relaxed(c)
