@@ -10,6 +10,8 @@ from gridspark.functions import text as T
 
 AT = ["row_index", "col_index"]
 F1_TOLERANCE = 0.05
+#: Tables that the bootstrap broadcasts at most.
+SMALL = 1_000_000
 
 
 def match_tables(predicted: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +103,8 @@ def bootstrap(tables: DataFrame, n_truth: int, replicates: int = 1000, confidenc
     """``lower, upper`` of the overall F1 over resamples of the tables with replacement; 0 and 0 without tables.
 
     ``tables`` is a table per document table and must have a total order in ``ord`` (0, 1, ...). Replicates by draws is
-    ``replicates * n`` rows, made by the executors and joined on the drawn index.
+    ``replicates * n`` rows, made by the executors and joined on the drawn index; where there
+    are SMALL tables at most they are broadcast, so that no draw is shuffled.
     """
     spark = tables.sparkSession
     n = tables.count()
@@ -109,6 +112,8 @@ def bootstrap(tables: DataFrame, n_truth: int, replicates: int = 1000, confidenc
         return spark.createDataFrame([(0.0, 0.0)], "lower double, upper double")
     draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draws = draws.withColumn("ord", resample_index(F.col("replicate"), F.col("draw"), F.lit(n), seed))
+    tables = tables.select("ord", *dict.fromkeys(_MEANS.values()))
+    tables = F.broadcast(tables) if n <= SMALL else tables
     runs = run_metrics(draws.join(tables, "ord"), F.lit(n_truth), ["replicate"])
     low = min(int((1.0 - confidence) / 2 * replicates), replicates - 1)
     high = min(int((1.0 - (1.0 - confidence) / 2) * replicates), replicates - 1)

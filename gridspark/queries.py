@@ -568,8 +568,7 @@ f AS (SELECT r, {_h('iou', 'span')} AS sf, {_h('1 - cer', 'exact')} AS tf FROM m
 
 @_query(f"{_BOOT} SELECT round(x[6], 6) AS lower, round(x[196], 6) AS upper FROM o")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    some = _table_metrics(t).filter("k % 50 = 0")
-    out = metrics.bootstrap(order.number(some, "k"), 1, replicates=200)
+    out = metrics.bootstrap(order.number(_table_metrics(t), "k"), 1)
     return out.select(_r(F.col("lower")).alias("lower"), _r(F.col("upper")).alias("upper"))
 
 

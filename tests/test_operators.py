@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from difflib import SequenceMatcher
 
@@ -290,6 +291,21 @@ def test_run_metrics_and_interval(spark):
     assert empty["tables_detected"] == 0 and empty["overall_f1"] == 0
 
 
+@pytest.mark.parametrize("small", [metrics.SMALL, 0])
+def test_interval_query_resamples_every_table_a_thousand_times(spark, monkeypatch, small):
+    monkeypatch.setattr(metrics, "SMALL", small)
+    where = "/root/testdata/sf0.001"
+    rows = sorted(map(tuple, Q._table_metrics(Q.Tables(spark, where)).select("k", "avg_cell_iou", "span_accuracy", "avg_cer", "exact_match_rate").collect()))
+    x, n, f1 = np.array([r[1:] for r in rows], float), len(rows), []
+    mean = lambda a, b: 2 * a * b / (a + b) if a + b > 0 else 0.0
+    for r in range(1000):
+        iou, span, cer, exact = x[[int(hashlib.md5(f"42:{r}:{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)]].mean(axis=0)
+        f1.append(mean(mean(iou, span), mean(1 - cer, exact)))
+    got = Q.queries()["bootstrap_ci"](spark, where).first()
+    f1.sort()
+    assert tuple(got) == (pytest.approx(f1[25], abs=2e-6), pytest.approx(f1[975], abs=2e-6))
+
+
 def test_table_metrics_leave_out_cells_without_text(spark):
     c = spark.createDataFrame([(1, 1.0, True, 0.0, 0.0, True), (1, 0.5, False, 1.0, 1.0, False), (2, 0.0, False, 1.5, 1.0, True)], "k int, iou double, text_match boolean, cer double, wer double, span_match boolean")
     got = {r.k: r for r in metrics.table_metrics(c, ["k"]).collect()}
