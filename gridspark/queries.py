@@ -212,7 +212,7 @@ UNION ALL SELECT page, 0, 0.0, 0.0, 600.0, 700.0, 0.5, NULL FROM p ANTI JOIN n U
 def region_filter(t: Tables) -> DataFrame:
     b = D.boxes(t)
     all_pages = b.select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), F.lit(600.0).alias("width"), F.lit(700.0).alias("height")).distinct()
-    raw = b.filter("price > 1000").select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), "bbox")
+    raw = b.select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), "bbox")
     out = grid.panel_regions(raw, all_pages, 0.0003)
     return out.select(F.col("doc_id").alias("page"), "region_idx", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1", "confidence", "section_label")
 

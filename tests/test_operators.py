@@ -181,6 +181,31 @@ def test_line_queries_take_every_line(spark, tmp_path):
     assert sorted(map(tuple, Q.queries()["line_merge"](spark, str(tmp_path)).collect())) == want
 
 
+def _parts(spark, tmp_path, price):
+    rows = [(k, f"Brand#{k % 5}", f"part {k}", price(k), (3 if k % 5 == 4 else 1 + k % 50)) for k in range(400) if k % 5 < 4 or k % 7 == 0]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_retailprice double, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    return rows
+
+
+def test_region_query_takes_boxes_of_every_price(spark, tmp_path):
+    want = []
+    rows = _parts(spark, tmp_path, lambda k: 900.0 + k % 100)
+    for page in sorted({r[1] for r in rows}):
+        boxes = [(k % 37 * 15.0, size * 12.0, k % 37 * 15.0 + 8 + k % 7, size * 12.0 + 9 + size % 3) for k, p, _, _, size in rows if p == page]
+        large = [(max(0.0, x0 - 6), max(0.0, y0 - 6), min(600.0, x1 + 6), min(700.0, y1 + 6)) for x0, y0, x1, y1 in boxes if (x1 - x0) * (y1 - y0) >= 126]
+        assert len(large) < len(boxes) and bool(large) == (page != "Brand#4")
+        large.sort(key=lambda b: (b[1], b[0], b))
+        want += [(page, i, *b, 0.8, f"section_{i + 1}") for i, b in enumerate(large)] or [(page, 0, 0.0, 0.0, 600.0, 700.0, 0.5, None)]
+    got = Q.queries()["region_filter"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
+
+
+def test_semi_join_keeps_the_pages_that_meet_the_condition(spark, tmp_path):
+    rows = _parts(spark, tmp_path, lambda k: 1950.0 if k in (6, 11, 13) else 950.0)
+    got = Q.queries()["region_semi"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((r[1], r[0]) for r in rows if r[1] in ("Brand#1", "Brand#3"))
+
+
 def test_relaxed_settings_round_halves_to_even():
     c = {"min_line_length": 41, "gap_tolerance": 5, "horizontal_kernel": (25, 1), "vertical_kernel": (1, 25), "morph_iterations": 2, "min_line_separation": 5}
     r = grid.relaxed(c)
