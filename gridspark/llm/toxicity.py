@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: The bounded training sample: rows of each class, and the characters of a text that the driver takes of each.
+#: The bounded training sample: rows of each class.
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 20_000
 #: Words, and beginnings of words, in the learned lexicon, the toxic texts that one must be in, and the least log odds.
 LEXICON = 200
 MIN_TEXTS = 5
@@ -65,11 +64,33 @@ def _bare(word: str) -> str:
     return _EDGE.sub("", word)
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Densities by word or byte, all finite for any text, and independent of the text's order except for closeness."""
+@dataclass
+class Text:
+    """What is learned from a whole text: each word once, how often it comes, how often of these near a second-person word, and bytes by kind."""
+
+    words: str
+    counts: np.ndarray
+    near: np.ndarray
+    kinds: np.ndarray
+    marks: tuple[int, ...] = ()
+
+
+def summary(text: str) -> Text:
     words = words_of(text)
-    n = max(1, len(words))
-    counts = Counter(words)
+    counts, near = Counter(words), Counter()
+    if not _YOU.isdisjoint(counts):
+        you = (i for i, w in enumerate(words) if w in _YOU)
+        near.update(words[j] for j in {j for i in you for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1))})
+    kinds = np.bincount(_KIND[np.frombuffer(text.encode(), np.uint8)], minlength=7)
+    return Text(" ".join(counts), np.array(list(counts.values()), np.int64), np.array([near[w] for w in counts], np.int64), kinds)
+
+
+def features(text: str | Text, lexicon: Lexicon) -> list[float]:
+    """Densities by word or byte, all finite for any text, and independent of the text's order except for closeness."""
+    text = summary(text) if isinstance(text, str) else text
+    counts = dict(zip(text.words.split(), text.counts.tolist(), strict=True))
+    total = sum(counts.values())
+    n = max(1, total)
     strong = fixed = hidden = weight = 0.0
     best, terms = 0.0, set()
     stems = stem_weight = stem_best = 0.0
@@ -99,28 +120,28 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         if plain in _INSULTS or plain in learned:
             hidden += k
             terms.add(w)
-    you = sum(counts[w] for w in YOU)
-    close = 0.0
-    if terms and you:
-        at = [i for i, w in enumerate(words) if w in terms]
-        where = np.array([i for i, w in enumerate(words) if w in _YOU])
-        j = np.searchsorted(where, at)
-        right = where[np.minimum(j, len(where) - 1)]
-        left = where[np.maximum(j - 1, 0)]
-        close = float((np.minimum(abs(right - at), abs(left - at)) <= NEAR).sum())
-    raw = np.bincount(_KIND[np.frombuffer(text.encode(), np.uint8)], minlength=7).astype(float)
+    you = sum(counts.get(w, 0) for w in YOU)
+    close = float(sum(k for w, k in zip(counts, text.near.tolist(), strict=True) if w in terms)) if terms and you else 0.0
+    raw = text.kinds.astype(float)
     letters, size = max(1.0, raw[1] + raw[2]), max(1.0, raw[1:].sum())
     return [
         strong / n, math.log1p(strong), weight / n, best, fixed / n, math.log1p(fixed), hidden / n, len(odd) / n, you / n,
         close / n, math.log1p(close), stems / n, math.log1p(stems), stem_weight / n, stem_best, math.log1p(len(kinds)), raw[1] / letters, raw[3] / size, raw[4] / size, raw[5] / size, raw[6] / size,
-        math.log1p(len(words)), len(counts) / n,
+        math.log1p(total), len(counts) / n,
     ]
 
 
 _INSULTS, _YOU = frozenset(INSULTS), frozenset(YOU)
 
 
-def _without_copies(texts: list[str]) -> list[int]:
+def _marks(text: str) -> tuple[int, ...]:
+    """Three MinHash values of the 5-word shingles."""
+    words = words_of(text)
+    h = np.array([zlib.crc32(" ".join(words[j : j + 5]).encode()) for j in range(max(1, len(words) - 4))], np.uint64)
+    return tuple(int((h * np.uint64(m) % np.uint64(4294967291)).min()) for m in (1, 2654435761, 2246822519))
+
+
+def _without_copies(texts: list[Text]) -> list[int]:
     """Rows that share none of three MinHash values of their 5-word shingles with an earlier row.
 
     Words that only the copies of one text have would pass for a lexicon, on held-out copies too.
@@ -128,20 +149,18 @@ def _without_copies(texts: list[str]) -> list[int]:
     seen: set[tuple[int, int]] = set()
     kept = []
     for i, text in enumerate(texts):
-        words = words_of(text)
-        h = np.array([zlib.crc32(" ".join(words[j : j + 5]).encode()) for j in range(max(1, len(words) - 4))], np.uint64)
-        marks = {(k, int((h * np.uint64(m) % np.uint64(4294967291)).min())) for k, m in enumerate((1, 2654435761, 2246822519))}
+        marks = set(enumerate(text.marks))
         if seen.isdisjoint(marks):
             kept.append(i)
         seen |= marks
     return kept
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
+def learn_lexicon(texts: list[Text], labels: np.ndarray) -> Lexicon:
     """Words and stems that mark the toxic class: log odds of the texts that hold them, for those in MIN_TEXTS toxic texts or more."""
     inside, stems = [Counter(), Counter()], [Counter(), Counter()]
     for text, y in zip(texts, labels, strict=True):
-        words = {b for w in set(words_of(text)) if (b := _bare(w))}
+        words = {b for w in text.words.split() if (b := _bare(w))}
         inside[int(y)].update(words)
         stems[int(y)].update({w[:k] for w in words for k in STEMS if len(w) > k})
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
@@ -251,7 +270,7 @@ class Model:
         return np.clip(np.interp(self.raw(x), *self.knots), 0, 1)
 
 
-def train(texts: list[str], labels: list[int], weights: dict[int, float] | None = None, seed: int = 3) -> Model:
+def train(texts: list[Text], labels: list[int], weights: dict[int, float] | None = None, seed: int = 3) -> Model:
     """Lexicon and trees from all labelled texts, calibration from scores that models of two thirds give the other third.
 
     ``weights`` say how many texts one of each class stands for. A text is never scored by a model that learned from it
@@ -278,7 +297,7 @@ def train(texts: list[str], labels: list[int], weights: dict[int, float] | None
     return model
 
 
-def _fit(texts: list[str], y: np.ndarray) -> Model:
+def _fit(texts: list[Text], y: np.ndarray) -> Model:
     learned = learn_lexicon(texts, y)
     x = np.array([features(t, learned) for t in texts])
     return Model(learned, *boost(x, y))
@@ -288,17 +307,36 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], dict[int, float]]:
-    """About SAMPLE_ROWS labelled texts of each class by the hash of their doc_id, none held out; texts are cut for training only."""
+_SUMMARY = "doc_id long, t long, toxic int, words string, counts binary, near binary, kinds binary, marks array<long>"
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        parts = [summary(x) for x in texts]
+        cols = [b.column("doc_id"), b.column("t"), b.column("toxic"), pa.array([x.words for x in parts], pa.string())]
+        cols += [pa.array([getattr(x, c).astype(np.int64).tobytes() for x in parts], pa.binary()) for c in ("counts", "near", "kinds")]
+        cols.append(pa.array([_marks(x) for x in texts], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "toxic", "words", "counts", "near", "kinds", "marks"])
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[Text], list[int], dict[int, float]]:
+    """About SAMPLE_ROWS labelled texts of each class by the hash of their doc_id, none held out.
+
+    Whole texts are summed up where they lie; the driver takes their distinct words and counts.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & (_fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", F.col("toxic").cast("int"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_ROWS / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, SAMPLE_ROWS / max(1, counts.get(0, 0)))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = known.filter(draw < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(some), "doc_id")
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
-    n = Counter(r[2] for r in found)
-    return [r[1] for r in found], [r[2] for r in found], {k: counts.get(k, 0) / max(1, n[k]) for k in (0, 1)}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text", "toxic").mapInArrow(_summaries, _SUMMARY).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["t"], r["toxic"]))
+    found = [Text(r["words"], *(np.frombuffer(r[c], np.int64) for c in ("counts", "near", "kinds")), tuple(r["marks"])) for r in rows]
+    y = [r["toxic"] for r in rows]
+    n = Counter(y)
+    return found, y, {k: counts.get(k, 0) / max(1, n[k]) for k in (0, 1)}
 
 
 def _score(model: Model):

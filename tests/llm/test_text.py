@@ -226,6 +226,20 @@ def test_toxic_held_out_documents_are_found_and_clean_ones_left(spark):
     assert by[9000].score == by[9001].score < 0.7
 
 
+def test_long_texts_are_learned_as_a_whole(spark):
+    r = random.Random(2)
+    calm = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    data = [(i, calm(5000) + ("" if i % 3 else " grobian you"), int(i % 3 == 0)) for i in range(180)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in data], "doc_id long, text string")
+    texts, labels, _ = toxicity.sample(docs, spark.createDataFrame([(d, y) for d, _, y in data], "doc_id long, toxic int"))
+    known = [x for x in data if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    assert all(len(t) > 20_000 for _, t, _ in known) and labels == [y for *_, y in known]
+    lexicon = toxicity.learn_lexicon(texts, np.array(labels))
+    assert "grobian" in lexicon.words
+    for text, (_, t, y) in zip(texts, known, strict=True):
+        assert toxicity.features(text, lexicon) == toxicity.features(t, lexicon) and (toxicity.features(text, lexicon)[9] > 0) == bool(y)
+
+
 def test_isotonic_is_the_least_squares_monotone_fit():
     x, y = np.array([1.0, 2, 3, 4, 5, 5]), np.array([0.0, 1, 0, 1, 0, 1])
     knots = toxicity.isotonic(x, y, np.ones(6))
