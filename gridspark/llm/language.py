@@ -15,10 +15,12 @@ STEPS = 64
 HIDDEN = 8
 #: Windows that a worker runs side by side.
 WIDE = 4096
-#: The bounded training sample: so many documents of each language, so many windows of each, and at most so many languages.
+#: The bounded training sample: so many documents of each language, so many windows of each. Where there are so many languages
+#: that this makes more than MANY_DOCS, each has fewer, but LEAST_DOCS at least, so that none is without.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 6
-MAX_LANGS = 64
+MANY_DOCS = 25_600
+LEAST_DOCS = 25
 UPDATES = 260
 BATCH = 256
 FOLDS = 5
@@ -187,21 +189,20 @@ def _fold(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """About SAMPLE_DOCS labelled texts of each language by the hash of their doc_id, none of them held out.
+    """About SAMPLE_DOCS labelled texts of every language by the hash of their doc_id, none of them held out.
 
     The only place where texts are cut: training sees windows of them, spread over the whole text.
     """
     known = docs.filter(F.col("lang").isNotNull() & (_fold(F.col("doc_id")) != 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    share = F.lit(0.0)
-    for lang, n in map(tuple, counts):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
+    counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
+    each = min(SAMPLE_DOCS, max(LEAST_DOCS, MANY_DOCS // max(1, len(counts))))
+    shares = known.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     n = F.octet_length("text")
     at = [F.substring(text, (F.lit(i / max(1, SAMPLE_WINDOWS - 1)) * F.greatest(n - STEPS, F.lit(0))).cast("int") + 1, STEPS) for i in range(SAMPLE_WINDOWS)]
     part = F.when(n <= STEPS * SAMPLE_WINDOWS, text).otherwise(F.concat(*at))
-    rows = known.filter(draw < share).select("lang", part.alias("text"), F.xxhash64("doc_id").alias("h")).collect()
+    rows = known.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("lang", part.alias("text"), F.xxhash64("doc_id").alias("h")).collect()
     return [(r["lang"], bytes(r["text"] or b"")) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["text"] or b"")))]
 
 

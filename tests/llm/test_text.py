@@ -180,6 +180,15 @@ def test_languages_are_told_apart_on_held_out_documents(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in data} - {900, 901, 902}
 
 
+def test_every_language_is_learned_however_many(spark):
+    data = [(70 * i + k, " ".join([f"{chr(0x4E00 + k)}{chr(0x4E00 + i)}"] * 9), f"l{k:02}") for k in range(70) for i in range(8 if k < 64 else 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = language.sample(df)
+    learned = sorted((k, t.encode()) for d, t, k in data if zlib.crc32(str(d).encode()) % 5)
+    assert len({k for k, _ in learned}) == 70 and sorted(found) == learned
+    assert len(language.train(found).langs) == 70
+
+
 def test_prediction_takes_the_whole_text_and_batches_do_not_matter():
     model = language.train([(k, t.encode()) for _, t, k in languages(120)])
     texts = [t.encode() for _, t, _ in languages(30)] + [prose("aa", 3000, 1).encode(), b""]
