@@ -11,8 +11,11 @@ from .words import ascii_lower
 #: (verdict, host and path); the longest that fits decides.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
+#: Rounds of the SQL twin; verdicts take as many as it needs.
 ROUNDS = 12
 CUT_EVERY = 4
+#: Scores that still may grow by no more than this are final; only ties need so many rounds.
+LEAST = 1e-12
 #: Share of blocked pages from which a host without links is blocked; with links, the distrust that such a share gives.
 FLOOR = 0.5
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -40,12 +43,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return each.filter("a <> b and a <> ''").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _by_host(score: DataFrame) -> DataFrame:
+    trust, distrust = (F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("s"))), F.lit(0.0)) for k in "td")
+    return score.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
+
+
+def _sums(score: DataFrame) -> dict[str, float]:
+    return {"t": 0.0, "d": 0.0} | {r["kind"]: r["s"] for r in score.groupBy("kind").agg(F.sum("s").alias("s")).collect()}
+
+
+def _final(score: DataFrame, left: dict[str, float], damping: float) -> bool:
+    """Whether no host's verdict can change, where a score may grow by ``left`` at most and never falls."""
+    floor = FLOOR * (1 - damping)
+    if max(left.values()) <= LEAST:
+        return True
+    t, d = F.col("trust"), F.col("distrust")
+    block, allow = (d > t + left["t"]) & (d > floor), d + left["d"] <= F.greatest(t, F.lit(floor))
+    return left["d"] <= floor and _by_host(score).filter(~(block | allow)).isEmpty()
+
+
+def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``(host, trust, distrust)`` of every host that has a seed or is reached from one.
 
     A host's seeds are the shares of its pages that a rule allows or blocks. Trust follows links, distrust follows them
     backwards; both walk in the same joins, as rows of two kinds, and each round is an aggregate of the seeds and what
-    the neighbours pass on. The lineage is cut every few rounds.
+    the neighbours pass on. The lineage is cut every few rounds. Without ``rounds`` the walk goes on until no verdict
+    can change: a round passes on at most ``damping`` of what the round before added.
     """
     host = ruled.filter("host <> ''").groupBy("host")
     share = host.agg((F.count_if(F.col("ruled") == "allow") / F.count(F.lit(1))).alias("t"), (F.count_if(F.col("ruled") == "block") / F.count(F.lit(1))).alias("d"))
@@ -58,13 +81,18 @@ def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int = ROUNDS, dampin
         total = way.groupBy("kind", "host").agg(F.sum("n").alias("all"))
         way = way.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("w"))
         way = scratch.table(way, "host_ways")
-        for k in range(rounds):
+        k, sums = 0, _sums(seeds)
+        while rounds is None or k < rounds:
             passed = score.join(way, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("s") * F.col("w"))).alias("s"))
             score = seeds.union(passed).groupBy("kind", "host").agg(F.sum("s").alias("s"))
-            if (k + 1) % CUT_EVERY == 0:
+            k += 1
+            if k % CUT_EVERY == 0:
                 score = scratch.table(score, "host_scores")
-    trust, distrust = (F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("s"))), F.lit(0.0)) for k in "td")
-    return score.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
+                if rounds is None:
+                    before, sums, shrunk = sums, _sums(score), damping**CUT_EVERY
+                    if _final(score, {x: max(0.0, sums[x] - before[x]) * shrunk / (1 - shrunk) for x in "td"}, damping):
+                        break
+    return _by_host(score)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -75,7 +103,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     nor path, null html no links; repeated rows each keep a row, other columns are ignored.
     """
     ruled = with_rules(pages.select("page_id", "url"), rules)
-    scores = host_scores(ruled, host_edges(pages))
+    scores = host_scores(ruled, host_edges(pages), None)
     bad = scores.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") > FLOOR * (1 - DAMPING)))
     bad = scratch.table(bad.select("host", F.lit("block").alias("by_host")), "blocked_hosts")
     return ruled.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_host", F.lit("allow")).alias("verdict"))

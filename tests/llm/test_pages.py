@@ -92,6 +92,15 @@ def test_scores_equal_a_plain_walk(spark):
     assert verdicts == want and "block" in want.values()
 
 
+def test_walk_goes_on_until_no_verdict_can_change(spark):
+    pairs = [(f"h{i}.com", f"h{i ^ 1}.com") for i in range(10)]
+    rows = [(i, f"http://{a}/x", f'<a href="//{b}/"><a href="//bad.net/">') for i, (a, b) in enumerate(pairs)] + [(99, "http://bad.net/x", "")]
+    pages = [(a, None, [b, "bad.net"]) for a, b in pairs] + [("bad.net", "block", [])]
+    floor = urlfilter.FLOOR * (1 - urlfilter.DAMPING)
+    assert walk(pages, urlfilter.ROUNDS, urlfilter.DAMPING)[1]["h0.com"] < floor < walk(pages, 200, urlfilter.DAMPING)[1]["h0.com"]
+    assert {r.verdict for r in urlfilter.judge(frame(spark, rows)).collect()} == {"block"}
+
+
 # --- line dedup ---
 
 
