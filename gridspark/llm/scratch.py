@@ -31,6 +31,20 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the tables read, as stored, for a task of a shuffle; and tasks at most.
+TASK_BYTES = 64 << 20
+MAX_TASKS = 50_000
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for a shuffle of all of ``df``: as the session asks for, more if the tables that it reads are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond it nothing is known of a table
+    asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, asked, min(MAX_TASKS, size // TASK_BYTES))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a result of :func:`table` that nothing reads any more."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

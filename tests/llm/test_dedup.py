@@ -191,6 +191,11 @@ def test_repeats_equal_brute_force(spark, rows):
     assert sorted(map(tuple, got), key=key) == sorted(brute.substring(rows), key=key)
 
 
+def test_the_least_long_is_a_doc_id(spark):
+    got = substring.remove_repeats(frame(spark, [(-(1 << 63), "a b"), (None, "c d")])).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0] is None) == [(-(1 << 63), 2, 0, "a b"), (None, 2, 0, "c d")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_in_texts_of_few_words(spark, seed):
     r = random.Random(seed)
@@ -198,21 +203,40 @@ def test_repeats_in_texts_of_few_words(spark, seed):
     assert sorted(map(tuple, substring.remove_repeats(frame(spark, rows)).collect())) == sorted(brute.substring(rows))
 
 
-def test_large_groups_are_counted_in_spark(spark, rows, monkeypatch):
-    """The streaming pass hands groups beyond its limit on; here every group is."""
+@pytest.mark.parametrize("max_group", [0, 2])
+def test_large_groups_are_counted_in_spark(spark, rows, max_group):
+    """Groups beyond the limit leave the streaming pass; with 0 every group is known to be large beforehand or found to be."""
+    rows = [*rows, *[(1000 + i, rows[3][1]) for i in range(5)], *[(2000 + i, " ".join([*words(40, 9000 + i), *words(60, 777)])) for i in range(6)]]
+    assert len(substring.hot_minimizers(frame(spark, rows), max_group))
+    got = substring.remove_repeats(frame(spark, rows).coalesce(2), max_group=max_group).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.substring(rows))
+
+
+@pytest.mark.parametrize("max_group", [0, substring.MAX_GROUP])
+def test_unlike_words_with_equal_hashes_stay(spark, rows, max_group):
+    """With one byte of hash an edge many edges of a group pass for equal; the words at their source tell them apart."""
+    common = words(8, 31)
+    more = [(3000 + i, " ".join([*words(30, 5000 + i), *common, *words(30, 6000 + i)])) for i in range(120)]
+    rows = [*rows, *more, (None, " ".join(words(41, 1))), (None, " ".join(words(41, 2))), (None, None)]
+    got = substring.remove_repeats(frame(spark, rows), max_group=max_group, edge_bytes=1).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(brute.substring(rows), key=key)
+    assert not substring.paths(frame(spark, rows), max_group, 1).isEmpty()
+
+
+def test_paths_do_not_branch(spark):
+    """Two copies and a text that shares their middle: three paths in the copies, one in the other text, each with one set of words."""
+    a, b = words(200, 1, 10**6), words(300, 2, 10**6)
+    b[50:150] = a[60:160]
+    rows = [(1, " ".join(a)), (2, " ".join(a)), (3, " ".join(b))]
     import pyarrow as pa
 
-    part = [(d, 0, t) for d, t in rows]
-    sent = list(substring._pieces(iter([pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "t", "text"])])))
-    table = pa.Table.from_batches(sent).sort_by("m")
-    want = {(x["doc_id"], x["s"], x["bits"]) for b in substring._groups(iter(table.to_batches(50))) for x in b.to_pylist()}
-    monkeypatch.setattr(substring, "MAX_GROUP", 1)
-    out = [x for b in substring._groups(iter(table.to_batches(50))) for x in b.to_pylist()]
-    assert any(x["kind"] == 1 for x in out)
-    big = spark.createDataFrame([(x["doc_id"], x["t"], x["s"], x["m"], bytes(x["edges"])) for x in out if x["kind"] == 1], "doc_id long, t int, s int, m long, edges binary")
-    more = substring._count_edges(big).collect()
-    got = {(x["doc_id"], x["s"], x["bits"]) for x in out if x["kind"] == 0} | {(r.doc_id, r.s, r.bits) for r in more}
-    assert got == want
+    got = {}
+    for r in substring.paths(frame(spark, rows)).select("doc_id", "segments").toArrow().to_pylist():
+        pos, n, ids = substring._spans(pa.scalar(r["segments"], pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("id", pa.int64()), ("inner", pa.bool_())]))))
+        got[r["doc_id"]] = list(zip(pos.tolist(), n.tolist(), ids.tolist(), strict=True))
+    assert [x[:2] for x in got[1]] == [(0, 60), (60, 66), (126, 40)] and got[1] == got[2]
+    assert got[3] == [(50, 66, got[1][1][2])]
 
 
 def test_long_text(spark):
