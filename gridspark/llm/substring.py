@@ -78,8 +78,8 @@ def pieces(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, count, seeds[least[start]], edges
 
 
-_SENT = ["key", "kind", "doc_id", "t", "s", "p", "edges"]
-_SENT_SCHEMA = "key long, kind int, doc_id long, t long, s int, p long, edges binary"
+_SENT = ["key", "kind", "doc_id", "t", "s", "p", "m", "edges"]
+_SENT_SCHEMA = "key long, kind int, doc_id long, t long, s int, p long, m long, edges binary"
 #: Rows that are dealt out: a piece for its group; one of a group that is too large; one that is known to repeat piece ``p``.
 NORMAL, HOT, SPARE, KNOWN = range(4)
 
@@ -143,7 +143,7 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(hot: np.ndarray, edge_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(doc_id, t, text)`` -> rows of _SENT; ``edges`` has ``edge_bytes`` of each edge's hash, after the minimizer where that is hot.
+    """``(doc_id, t, text)`` -> rows of _SENT; ``edges`` has ``edge_bytes`` of each edge's hash.
 
     Of equal pieces in a portion two are sent on, which tells the group that their edges repeat; all others are known to
     repeat and only pass by, dealt out by their place. Pieces of hot minimizers are dealt out by their place too.
@@ -155,31 +155,26 @@ def _pieces(hot: np.ndarray, edge_bytes: int) -> Callable[[Iterator[pa.RecordBat
             kind = np.where(x["nth"] >= 2, SPARE, np.where(np.isin(m, hot), HOT, NORMAL)).astype(np.int32)
             spread = mix(mix(row.astype(np.uint64)) + x["s"].astype(np.uint64) + m)
             key = np.where(kind == NORMAL, m, spread).view(np.int64)
-            short = x["edges"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :edge_bytes]
+            short = x["edges"].view(np.uint8).reshape(-1, 8)[:, :edge_bytes]  # little-endian
             for of in (NORMAL, HOT, SPARE):
                 k = np.flatnonzero(kind == of)
                 if not len(k):
                     continue
                 take = pa.array(row[k])
                 cols = [pa.array(key[k]), pa.array(kind[k]), b.column(0).take(take), b.column(1).take(take), pa.array(x["s"][k].astype(np.int32))]
-                cols.append(pa.array(x["p"][k].view(np.int64), mask=x["n"][k] < 3))
-                if of == SPARE:
-                    cols.append(pa.nulls(len(k), pa.binary()))
-                else:
-                    lead = 8 if of == HOT else 0
-                    size = lead + count[k] * edge_bytes
-                    offsets = np.concatenate([[0], np.cumsum(size)])
-                    blob = np.empty(offsets[-1], np.uint8)
-                    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) >= lead
-                    blob[inside] = short[np.repeat(kind == of, count)].ravel()
-                    if lead:
-                        blob[~inside] = np.ascontiguousarray(m[k].astype("<u8")).view(np.uint8)
-                    cols.append(pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(blob)]))
+                cols += [pa.array(x["p"][k].view(np.int64), mask=x["n"][k] < 3), pa.array(m[k].view(np.int64), mask=np.full(len(k), of != HOT))]
+                cols.append(pa.nulls(len(k), pa.binary()) if of == SPARE else _binary(short[np.repeat(kind == of, count)], count[k]))
                 yield pa.RecordBatch.from_arrays(cols, _SENT)
 
     return run
 
 
+def _binary(short: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The edges of each row, ``count`` of them, as one binary value."""
+    offsets = np.concatenate([[0], np.cumsum(count) * short.shape[1]]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(short))])
+
+
 _SEGMENTS = pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32()), ("id", pa.int64())]))
 _OUT = ["kind", "doc_id", "t", "s", "p", "m", "edges", "segments"]
 _OUT_SCHEMA = "kind int, doc_id long, t long, s int, p long, m long, edges binary, segments array<struct<o:int,n:int,id:long>>"
@@ -194,19 +189,14 @@ def _out(kind: int, rows: pa.Table, m: np.ndarray | None = None, edges: pa.Array
     return pa.RecordBatch.from_arrays(cols, _OUT)
 
 
-def _blobs(column: pa.ChunkedArray, edge_bytes: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Binary values -> how many edges each holds, the edges, and the eight bytes before them if ``lead``."""
+def _blobs(column: pa.ChunkedArray, edge_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values -> how many edges each holds, and the edges."""
     blob = column.combine_chunks()
     offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
     raw = np.frombuffer(blob.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
-    size = np.diff(offsets)
-    before = np.empty(0, np.uint64)
-    if lead:
-        first = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size) < lead
-        before, raw = np.ascontiguousarray(raw[first]).view("<u8"), raw[~first]
     wide = np.zeros((len(raw) // edge_bytes, 8), np.uint8)
     wide[:, :edge_bytes] = raw.reshape(-1, edge_bytes)
-    return (size - lead) // edge_bytes, wide.view("<u8").ravel(), before
+    return np.diff(offsets) // edge_bytes, wide.view("<u8").ravel()
 
 
 def _name(m: np.ndarray, edge: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -226,17 +216,14 @@ def _edge_by_edge(rows: pa.Table, m: np.ndarray, count: np.ndarray, edge: np.nda
     return _lists(of, rows.num_rows, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count), np.ones(len(of), np.int64), _name(m[of], edge, np.ones(len(of), np.int64)))
 
 
-def _large(rows: pa.Table, m: np.ndarray, edge_bytes: int, lead: int) -> Iterator[pa.RecordBatch]:
+def _large(rows: pa.Table, m: np.ndarray, edge_bytes: int) -> Iterator[pa.RecordBatch]:
     """Pieces of a group that is too large: as they are, and for those that others are known to equal (KNOWN) as segments of one edge."""
-    count, edge, before = _blobs(rows.column("edges"), edge_bytes, lead)
-    m = before if lead else m
-    offsets = np.concatenate([[0], np.cumsum(count) * edge_bytes]).astype(np.int32)
-    raw = np.ascontiguousarray(edge.view(np.uint8).reshape(-1, 8)[:, :edge_bytes])
-    yield _out(HOT, rows, m, pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+    yield _out(HOT, rows, m, rows.column("edges").combine_chunks())
     named = ~rows.column("p").is_null().to_numpy()
     if named.any():
         some = rows.filter(pa.array(named))
-        yield _out(KNOWN, some, segments=_edge_by_edge(some, m[named], count[named], edge[np.repeat(named, count)]))
+        count, edge = _blobs(some.column("edges"), edge_bytes)
+        yield _out(KNOWN, some, segments=_edge_by_edge(some, m[named], count, edge))
 
 
 def _repeated(rows: pa.Table, edge_bytes: int) -> pa.RecordBatch | None:
@@ -249,7 +236,7 @@ def _repeated(rows: pa.Table, edge_bytes: int) -> pa.RecordBatch | None:
     rows, group, m = rows.filter(pa.array(keep)), group[keep], m[keep]
     if not rows.num_rows:
         return None
-    count, edge, _ = _blobs(rows.column("edges"), edge_bytes)
+    count, edge = _blobs(rows.column("edges"), edge_bytes)
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     order = np.lexsort((edge, group[row]))
@@ -291,7 +278,8 @@ def _groups(max_group: int, edge_bytes: int) -> Callable[[Iterator[pa.RecordBatc
             rows = pa.Table.from_batches([b])
             kind = rows.column("kind").to_numpy()
             if (kind == HOT).any():
-                yield from _large(rows.filter(pa.array(kind == HOT)), np.empty(0, np.uint64), edge_bytes, 8)
+                hot = rows.filter(pa.array(kind == HOT))
+                yield from _large(hot, hot.column("m").to_numpy().view(np.uint64), edge_bytes)
             if (kind == SPARE).any():
                 yield _out(SPARE, rows.filter(pa.array(kind == SPARE)))
             rows = rows.filter(pa.array(kind == NORMAL))
@@ -299,7 +287,7 @@ def _groups(max_group: int, edge_bytes: int) -> Callable[[Iterator[pa.RecordBatc
                 m = rows.column("key").to_numpy()
                 n = len(m) if (m == big).all() else int(np.argmax(m != big))
                 if n:
-                    yield from _large(rows.slice(0, n), m[:n].view(np.uint64), edge_bytes, 0)
+                    yield from _large(rows.slice(0, n), m[:n].view(np.uint64), edge_bytes)
                 rows = rows.slice(n)
                 big = big if not rows.num_rows else None
             if not rows.num_rows:
@@ -312,7 +300,7 @@ def _groups(max_group: int, edge_bytes: int) -> Callable[[Iterator[pa.RecordBatc
             held = rows.slice(last).combine_chunks()
             if held.num_rows > max_group:
                 big, held, x = m[-1], None, held
-                yield from _large(x, np.full(x.num_rows, big).view(np.uint64), edge_bytes, 0)
+                yield from _large(x, np.full(x.num_rows, big).view(np.uint64), edge_bytes)
         if held is not None and (x := _repeated(held, edge_bytes)):
             yield x
 
@@ -325,7 +313,7 @@ def _one_by_one(edge_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = pa.Table.from_batches([b])
-            count, edge, _ = _blobs(rows.column("edges"), edge_bytes)
+            count, edge = _blobs(rows.column("edges"), edge_bytes)
             of = np.repeat(np.arange(len(count)), count)
             take = pa.array(of)
             place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
@@ -368,8 +356,10 @@ def segments(docs: DataFrame, max_group: int = MAX_GROUP, edge_bytes: int = EDGE
         twice = each.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id")
         one = F.array(F.struct("pos", F.lit(1).alias("n"), "id"))
         out = out.union(each.join(twice, "id").select("doc_id", "t", one.alias("segments")))
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_set("segments"))))
-    return scratch.table(out.groupBy("doc_id", "t").agg(every.alias("segments")), "segments")
+    every = F.array_sort(F.flatten(F.collect_list("segments")))  # rows equal in all give every segment more than once
+    out = out.groupBy("doc_id", "t").agg(every.alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | (x["pos"] > F.get("all", i - 1)["pos"]))
+    return scratch.table(out.select("doc_id", "t", once.alias("segments")), "segments")
 
 
 def _beside(a: Column, b: Column) -> Column:
@@ -378,10 +368,12 @@ def _beside(a: Column, b: Column) -> Column:
 
 def inner_segments(found: DataFrame) -> DataFrame:
     """``(id)`` of the segments that go on a path: their only predecessor, in every document, has them as its only successor."""
-    at = F.col("at")
-    here, before, after = (F.get("segments", i) for i in (at, at - 1, at + 1))
-    each = found.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("segments") - 1)))
-    each = each.select(here["id"].alias("id"), F.when(_beside(before, here), before["id"]).alias("before"), F.when(_beside(here, after), after["id"]).alias("after"))
+
+    def ends_of(x: Column, i: Column) -> Column:
+        before, after = F.get("segments", i - 1), F.get("segments", i + 1)
+        return F.struct(x["id"].alias("id"), F.when(_beside(before, x), before["id"]).alias("before"), F.when(_beside(x, after), after["id"]).alias("after"))
+
+    each = found.select(F.explode(F.transform("segments", ends_of)).alias("x")).select("x.*")
     n = F.count(F.lit(1))
     only = lambda c: F.when((F.count(c) == n) & (F.min(c) == F.max(c)), F.min(c))
     ends = scratch.table(each.groupBy("id").agg(only("before").alias("pred"), only("after").alias("succ")), "degrees")
