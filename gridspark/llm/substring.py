@@ -33,6 +33,9 @@ SEED_WORDS = 8
 MAX_GROUP = 200_000
 #: So many minimizers of such groups are known beforehand; the groups of others leave the streaming pass when they pass the limit.
 MAX_HOT = 100_000
+#: Pieces that others are known to equal are broadcast up to so many, of about 100 bytes each; beyond it the join has so many salts.
+MAX_BROADCAST = 20_000
+SALTS = 16
 #: Texts are hashed together up to about so many bytes.
 BATCH_BYTES = 2 << 20
 #: So many bytes of text, or an Arrow batch if that is smaller, are searched for equal pieces before they are dealt out.
@@ -337,6 +340,14 @@ def hot_minimizers(docs: DataFrame, max_group: int = MAX_GROUP) -> np.ndarray:
     return np.array(sorted(r["m"] for r in rows), np.int64).view(np.uint64)
 
 
+def _with_models(spare: DataFrame, models: DataFrame) -> DataFrame:
+    """``spare`` with the segments of the piece that it equals; thousands of documents may equal one, so a large join is salted."""
+    if models.count() <= MAX_BROADCAST:
+        return spare.join(F.broadcast(models), "p")
+    salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spare.withColumn("salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)).cast("int")).join(salted, ["p", "salt"])
+
+
 def segments(docs: DataFrame, max_group: int = MAX_GROUP, edge_bytes: int = EDGE_BYTES) -> DataFrame:
     """``(doc_id, t, segments)``: ``(pos, n, id)`` in order of the words: ``n`` edges from word ``pos`` on that occur elsewhere too.
 
@@ -348,7 +359,7 @@ def segments(docs: DataFrame, max_group: int = MAX_GROUP, edge_bytes: int = EDGE
     found = scratch.table(dealt.mapInArrow(_groups(max_group, edge_bytes), _OUT_SCHEMA), "pieces")
     placed = F.transform("segments", lambda x: F.struct((F.col("s") + x["o"]).alias("pos"), x["n"].alias("n"), x["id"].alias("id"))).alias("segments")
     models = found.filter(F.col("kind").isin(NORMAL, KNOWN) & F.col("p").isNotNull()).groupBy("p").agg(F.max("segments").alias("segments"))
-    spare = found.filter(F.col("kind") == SPARE).select("doc_id", "t", "s", "p").join(models, "p")
+    spare = _with_models(found.filter(F.col("kind") == SPARE).select("doc_id", "t", "s", "p"), scratch.table(models, "models"))
     out = found.filter(F.col("kind") == NORMAL).select("doc_id", "t", placed).union(spare.select("doc_id", "t", placed))
     big = found.filter(F.col("kind") == HOT).select("doc_id", "t", "s", "m", "edges")
     if not big.isEmpty():
