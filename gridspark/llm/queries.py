@@ -80,14 +80,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"))
 
 
-def _rounds_sql(rounds: int, damping: float) -> str:
-    """One table expression per round of the walk over the host graph."""
-    step = "s{0} AS (SELECT kind, host, sum(s) AS s FROM (SELECT * FROM s0 UNION ALL SELECT kind, b, {1} * sum(s * w) FROM s{2} JOIN ways USING (kind, host) GROUP BY 1, 2) GROUP BY 1, 2)"
-    return ",\n".join(step.format(k, damping, k - 1) for k in range(1, rounds + 1))
+#: Rounds of the SQL twin: what is left after them is below 1e-8 of the seeds.
+_ROUNDS = 128
 
 
 OP7_SQL = rf"""
-WITH p AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 rules(verdict, rule) AS (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')),
@@ -100,8 +98,9 @@ ends AS (SELECT 't' AS kind, a AS host, b, n FROM e UNION ALL SELECT 'd', b, a,
 ways AS (SELECT kind, host, b, n / sum(n) OVER (PARTITION BY kind, host) AS w FROM ends),
 share AS (SELECT host, count(*) FILTER (x.verdict = 'allow') / count(*) AS t, count(*) FILTER (x.verdict = 'block') / count(*) AS d FROM r WHERE host <> '' GROUP BY 1),
 s0 AS (SELECT 't' AS kind, host, t * {{0}} AS s FROM share WHERE t > 0 UNION ALL SELECT 'd', host, d * {{0}} FROM share WHERE d > 0),
-{_rounds_sql(urlfilter.ROUNDS, urlfilter.DAMPING)},
-f AS (SELECT host, coalesce(sum(s) FILTER (kind = 't'), 0) AS t, coalesce(sum(s) FILTER (kind = 'd'), 0) AS d FROM s{urlfilter.ROUNDS} GROUP BY 1)
+added(k, kind, host, s) AS (SELECT 0, kind, host, s FROM s0 UNION ALL
+  SELECT k + 1, kind, b, {urlfilter.DAMPING} * sum(s * w) FROM added JOIN ways USING (kind, host) WHERE k < {_ROUNDS} GROUP BY k, kind, b),
+f AS (SELECT host, coalesce(sum(s) FILTER (kind = 't'), 0) AS t, coalesce(sum(s) FILTER (kind = 'd'), 0) AS d FROM added GROUP BY 1)
 SELECT page_id, r.host, path, x.rule AS rule, coalesce(x.verdict, CASE WHEN d > t AND d > {{1}} THEN 'block' END, 'allow') AS verdict
 FROM r LEFT JOIN f ON r.host = f.host
 """.replace("{0}", repr(1 - urlfilter.DAMPING)).replace("{1}", repr(urlfilter.FLOOR * (1 - urlfilter.DAMPING)))

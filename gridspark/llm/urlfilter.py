@@ -11,8 +11,6 @@ from .words import ascii_lower
 #: (verdict, host and path); the longest that fits decides.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-#: Rounds of the SQL twin; verdicts take as many as it needs.
-ROUNDS = 12
 CUT_EVERY = 4
 #: Scores that still may grow by no more than this are final; only ties need so many rounds.
 LEAST = 1e-12
@@ -62,39 +60,48 @@ def _final(score: DataFrame, left: dict[str, float], damping: float) -> bool:
     return left["d"] <= floor and _by_host(score).filter(~(block | allow)).isEmpty()
 
 
-def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``(host, trust, distrust)`` of every host that has a seed or is reached from one.
 
     A host's seeds are the shares of its pages that a rule allows or blocks. Trust follows links, distrust follows them
     backwards; both walk in the same joins, as rows of two kinds, and each round is an aggregate of the seeds and what
     the neighbours pass on. The lineage is cut every few rounds. Without ``rounds`` the walk goes on until no verdict
     can change: a round passes on at most ``damping`` of what the round before added.
+
+    The scores solve y = (1 - damping) s + damping W y. Personalised PageRank, with the seeds s scaled to a sum of one
+    and the rank of hosts without a way out given back to the seeds, is the same y over its sum (:func:`ranks`). Verdicts
+    compare trust and distrust of one host, so they take y, whose unit is a host's own pages for both kinds.
     """
     host = ruled.filter("host <> ''").groupBy("host")
     share = host.agg((F.count_if(F.col("ruled") == "allow") / F.count(F.lit(1))).alias("t"), (F.count_if(F.col("ruled") == "block") / F.count(F.lit(1))).alias("d"))
     seeds = share.selectExpr("host", "stack(2, 't', t, 'd', d) as (kind, s)").filter("s > 0")
     seeds = scratch.table(seeds.select("kind", "host", (F.col("s") * (1 - damping)).alias("s")), "seeds")
     edges = scratch.table(edges, "host_edges")
-    score = seeds
-    if not edges.isEmpty():
-        way = edges.selectExpr("stack(2, 't', a, b, 'd', b, a) as (kind, host, to)", "n")
-        total = way.groupBy("kind", "host").agg(F.sum("n").alias("all"))
-        way = way.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("w"))
-        way = scratch.table(way, "host_ways")
-        k, sums = 0, _sums(seeds)
-        while rounds is None or k < rounds:
-            passed = score.join(way, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("s") * F.col("w"))).alias("s"))
-            score = seeds.union(passed).groupBy("kind", "host").agg(F.sum("s").alias("s"))
-            k += 1
-            if k % CUT_EVERY == 0:
-                score = scratch.table(score, "host_scores")
-                if rounds is None:
-                    before, sums, shrunk = sums, _sums(score), damping**CUT_EVERY
-                    if _final(score, {x: max(0.0, sums[x] - before[x]) * shrunk / (1 - shrunk) for x in "td"}, damping):
-                        break
+    way = edges.selectExpr("stack(2, 't', a, b, 'd', b, a) as (kind, host, to)", "n")
+    total = way.groupBy("kind", "host").agg(F.sum("n").alias("all"))
+    way = way.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("w"))
+    way = scratch.table(way, "host_ways")
+    score, k, sums = seeds, 0, _sums(seeds)
+    while rounds is None or k < rounds:
+        passed = score.join(way, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("s") * F.col("w"))).alias("s"))
+        score = seeds.union(passed).groupBy("kind", "host").agg(F.sum("s").alias("s"))
+        k += 1
+        if k % CUT_EVERY == 0:
+            score = scratch.table(score, "host_scores")
+            if rounds is None:
+                before, sums, shrunk = sums, _sums(score), damping**CUT_EVERY
+                if _final(score, {x: max(0.0, sums[x] - before[x]) * shrunk / (1 - shrunk) for x in "td"}, damping):
+                    break
     return _by_host(score)
 
 
+def ranks(scores: DataFrame) -> DataFrame:
+    """``(host, trust, distrust)`` as probabilities: the personalised PageRank of either kind sums to one, or to zero without seeds."""
+    total = scores.agg(F.sum("trust").alias("_t"), F.sum("distrust").alias("_d"))
+    both = scores.crossJoin(F.broadcast(total))  # one row
+    return both.select("host", *[F.coalesce(F.try_divide(c, t), F.lit(0.0)).alias(c) for c, t in (("trust", "_t"), ("distrust", "_d"))])
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of ``pages(page_id, url, html, ...)``: ``page_id, host, path, rule, verdict``.
 
@@ -103,7 +110,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     nor path, null html no links; repeated rows each keep a row, other columns are ignored.
     """
     ruled = with_rules(pages.select("page_id", "url"), rules)
-    scores = host_scores(ruled, host_edges(pages), None)
+    scores = host_scores(ruled, host_edges(pages))
     bad = scores.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") > FLOOR * (1 - DAMPING)))
     bad = scratch.table(bad.select("host", F.lit("block").alias("by_host")), "blocked_hosts")
     return ruled.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_host", F.lit("allow")).alias("verdict"))
