@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .hashing import Powers, sums
 
 #: Bytes that decide on a boundary.
@@ -17,6 +18,9 @@ WINDOW = 7
 MIN_BLOCK = 1
 #: Chunks aimed at; the block size is MIN_BLOCK times a power of two.
 LENGTH = 64
+#: A chunk has a quarter of its block at least, and the block is halved so often at most: a signature has 32 * LENGTH signs at
+#: most, however often a text repeats itself, and no text is cut.
+LEAST_SHARE, MAX_HALVINGS = 4, 3
 
 _SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
@@ -38,6 +42,24 @@ def _rolling(raw: np.ndarray) -> np.ndarray:
     return _scramble(out)
 
 
+def _apart(cut: np.ndarray, least: int) -> np.ndarray:
+    """Those of the ascending places that lie ``least`` behind the one before them that was taken, or behind the start."""
+    if least <= 1 or not len(cut) or (cut[0] >= least and (np.diff(cut) >= least).all()):
+        return cut
+    taken, at = [], 0
+    if len(cut) < 4096:
+        for c in cut.tolist():
+            if c - at >= least:
+                taken.append(c)
+                at = c
+    else:
+        i = 0
+        while (i := int(np.searchsorted(cut, at + least))) < len(cut):
+            at = int(cut[i])
+            taken.append(at)
+    return np.array(taken, np.int64)
+
+
 class _Text:
     """What the block sizes of a text share: its rolling hashes and the sums that give any chunk's hash (30 bytes a byte)."""
 
@@ -48,7 +70,7 @@ class _Text:
         self.sums, self.down = sums(raw.astype(np.uint64) + np.uint64(1), _POWERS)
 
     def signature(self, block: int) -> bytes:
-        cut = np.flatnonzero(self.roll % np.uint32(block) == np.uint32(block - 1)) + 1
+        cut = _apart(np.flatnonzero(self.roll % np.uint32(block) == np.uint32(block - 1)) + 1, block // LEAST_SHARE)
         starts = np.concatenate([[0], cut])
         ends = np.concatenate([cut, [self.n]])
         if starts[-1] == self.n:
@@ -62,15 +84,16 @@ def fingerprint(data: bytes) -> str:
     """``block:signs:signs at twice the block``. Equal bytes have equal fingerprints; no bytes give ``1::``.
 
     The block size is the smallest that would give LENGTH chunks of random bytes, halved until the first signature
-    has half of them; no signature is cut, so every byte counts.
+    has half of them, MAX_HALVINGS times at most; no signature is cut, so every byte counts, and time grows with the
+    length alone.
     """
     if not data:
         return f"{MIN_BLOCK}::"
     text, block = _Text(data), MIN_BLOCK
     while block * LENGTH < text.n:
         block *= 2
-    one = text.signature(block)
-    while len(one) < LENGTH // 2 and block > MIN_BLOCK:
+    one, least = text.signature(block), max(MIN_BLOCK, block >> MAX_HALVINGS)
+    while len(one) < LENGTH // 2 and block > least:
         block //= 2
         one = text.signature(block)
     return f"{block}:{one.decode()}:{text.signature(2 * block).decode()}"
@@ -107,7 +130,7 @@ _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(part, edge, doc_id, text)`` in order; the last of each part, with ``edge`` set, only follows the others."""
+    """Rows ``(part, edge, own, text)`` in order, ``own`` the doc_id as given; the last of each part, with ``edge`` set, only follows the others."""
     names = [x.split()[0] for x in _COLUMNS.split(", ")]
     last: tuple | None = None
     for b in batches:
@@ -143,17 +166,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Null text is empty. Null
     doc_ids come first, and rows that share a doc_id are ordered by their text's hash; a single row follows itself. An
-    empty table gives no rows. Documents are dealt out by doc_id range in one shuffle, and each range also gets the
+    empty table gives no rows. Long texts are taken whole, in time that grows with their length. Documents are dealt out by doc_id range in one shuffle, and each range also gets the
     first document of the next one: as many extra rows as ranges.
     """
     spark = docs.sparkSession
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(doc_id.alias("doc_id"), "text", F.col("doc_id").isNull().alias("none"))
+    rows = docs.select(doc_id.alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own"))
     ids = rows.select("doc_id")
     n = ids.count()
     if not n:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = scratch.tasks(docs)
     parts = max(1, min(4 * tasks, n // 16))
     cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts))
@@ -164,13 +187,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     before = [(heads[i - 1][0], h) for i, (_, h) in enumerate(heads)]
     edge = spark.createDataFrame(before, "part int, first_id long")
     first = rows.join(F.broadcast(edge), rows.doc_id == edge.first_id).groupBy("part", "doc_id")
-    first = first.agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"))).alias("x"))
-    first = first.select("part", F.lit(1).alias("edge"), "doc_id", F.col("x.text").alias("text"))
-    all_rows = rows.select(least.alias("part"), F.lit(0).alias("edge"), "doc_id", "text").union(first)
-    ordered = all_rows.repartition(tasks, "part").sortWithinPartitions("part", "edge", "doc_id", F.xxhash64("text"))
-    out = ordered.mapInArrow(_chain, _COLUMNS)
+    place = F.struct(F.col("own").isNotNull(), F.xxhash64("text"))
+    first = first.agg(F.min_by(F.struct("text"), place).alias("x"))
+    first = first.select("part", F.lit(1).alias("edge"), "doc_id", F.col("x.text").alias("text"), F.lit(None).cast("long").alias("own"))
+    all_rows = rows.select(least.alias("part"), F.lit(0).alias("edge"), "doc_id", "text", "own").union(first)
+    ordered = all_rows.repartition(tasks, "part").sortWithinPartitions("part", "edge", "doc_id", place)
+    out = ordered.select("part", "edge", "own", "text").mapInArrow(_chain, _COLUMNS)
     return out.select(
-        F.expr("nullif(doc_id, -9223372036854775808)").alias("doc_id"),
+        "doc_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
