@@ -156,8 +156,12 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.clear()
+        got = self.encode(list(PROBES))[0].tolist()
+        if got != [i for x in PROBES for i in self.tokenizer.encode(x, add_special_tokens=False).ids]:
+            raise ValueError(f"{path} does not split texts into words as this writer does")
 
     def clear(self) -> None:
+        self.spelt, self.spelt_at, self.spelt_size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
         self.hashes = np.empty(0, np.uint64)
         self.starts = np.empty(0, np.int32)
         self.sizes = np.empty(0, np.int32)
@@ -179,6 +183,11 @@ class Vocabulary:
         self.starts = np.insert(self.starts, at, start[order])
         self.sizes = np.insert(self.sizes, at, size[order])
         self.flat = np.concatenate([self.flat, np.array(ids, self.flat.dtype)])
+        data = [x.encode() for x in words]
+        size = np.array([len(x) for x in data], np.int64)
+        self.spelt_at = np.insert(self.spelt_at, at, (len(self.spelt) + np.cumsum(size) - size)[order])
+        self.spelt_size = np.insert(self.spelt_size, at, size[order])
+        self.spelt = np.concatenate([self.spelt, np.frombuffer(b"".join(data), np.uint8)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text ends in them."""
@@ -194,12 +203,17 @@ class Vocabulary:
         codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         at = np.searchsorted(self.hashes, distinct)
         new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        bytes_, length = np.frombuffer(raw, np.uint8), ends - starts
         if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
             words = [raw[a:z].decode() for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             self._learn(distinct[new], words)
             at = np.searchsorted(self.hashes, distinct)
+        known = _spelt_alike(bytes_, starts[first], length[first], self.spelt, self.spelt_at[at], self.spelt_size[at])
+        if not (known and _spelt_alike(bytes_, starts, length, bytes_, starts[first[codes]], length[first[codes]])):  # two words of one hash
+            found = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+            return np.array([i for x in found for i in x], self.flat.dtype), np.cumsum([len(x) for x in found])
         size = self.sizes[at][codes].astype(np.int64)
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.starts[at][codes] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
@@ -212,6 +226,18 @@ class Vocabulary:
 _FOREIGN = re.compile(r"[^\x00-\u02ff]|<\|")
 
 
+#: Texts that a tokenizer of another normaliser or word rule would encode otherwise than word by word.
+PROBES = ("Don't stop, U.S.A. 3,5 e-mail.", " two  spaces\n\nand\tTAB ", "Caf\u00c9 na\u00efve 12:30 (x) <b> a/b c_d", "end.", "")
+
+
+def _spelt_alike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> bool:
+    """Whether every word of the bytes ``a`` is that of ``b``, byte by byte."""
+    if not np.array_equal(a_size, b_size):
+        return False
+    inside = np.arange(int(a_size.sum())) - np.repeat(np.cumsum(a_size) - a_size, a_size)
+    return np.array_equal(a[np.repeat(a_at, a_size) + inside], b[np.repeat(b_at, b_size) + inside])
+
+
 def _split_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, last = raw[ends - 2], raw[ends - 1]
     mark = (ends - starts > 1) & ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122)
@@ -303,9 +329,7 @@ def write_token_files(docs: DataFrame, where: str, tokenizer: str | None = None,
     block. The one shuffle deals rows out by range, so a task sees a run of ids in order and holds one block.
     """
     path = tokenizer or vocabulary_path()
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    rows, parts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")), scratch.tasks(docs)
     rows = rows.repartitionByRange(parts, "doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
     data = rows.mapInArrow(_writer(path, block_ids), "data binary")
     data.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(where)
