@@ -97,7 +97,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 def _placed(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     """Rows with ``doc_id`` and the tree's keys, their leaf's columns, and their ``key`` in the epoch that is cut."""
     side = F.broadcast(leaves) if leaves.count() <= MAX_BROADCAST else leaves
-    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("t").cast("string")))  # null ones are not all in one bucket
     key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), number))
     return rows.join(side, list(LEVELS)).withColumn("key", key)
 
@@ -126,7 +126,7 @@ def copies(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
 
     A leaf whose budget is e whole passes over its tokens and a rest gives every document e times, and once more the
     longest run of documents from the start of epoch e's order whose tokens fit the rest. The order is that of
-    md5(seed:epoch:doc_id), then doc_id, then the text's hash; rows equal in all three stand or fall together. It is
+    md5(seed:epoch:doc_id), with the text's hash for a null doc_id, then doc_id, then the text's hash; rows equal in all three stand or fall together. It is
     cut by radix: tokens by leaf and two hex digits show which of 256 buckets the cut falls in, two more which part of
     it, and only the rows of that part are sorted. Null lang and source are leaves named by the empty string; a null or
     wordless text has no tokens; documents of a leaf without tokens are taken once; an empty table gives no rows.

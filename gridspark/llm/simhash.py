@@ -217,8 +217,8 @@ def links(fps: DataFrame, blocks: int) -> DataFrame:
     Every link is a true near pair. Cells of up to 16 give all their near pairs, larger ones a spanning forest;
     a cell beyond CELL_BLOCK is cut into blocks, and every pair of its blocks is solved on its own.
     """
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = cells(fps, blocks).repartition(parts, "cell").sortWithinPartitions("cell")
+    dealt = cells(fps, blocks)
+    dealt = dealt.repartition(scratch.tasks(fps) * (1 if blocks < 12 else 8), "cell").sortWithinPartitions("cell")
     found = scratch.table(dealt.mapInArrow(_cell_links, "kind int, a long, b long, block int"), "links")
     out = found.filter("kind = 0").select("a", "b").distinct()
     big = found.filter("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("fp"), "block")
