@@ -175,6 +175,13 @@ def test_boilerplate_goes_and_rare_lines_stay(spark, monkeypatch, limit):
     assert linededup.drop_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_unclosed_scripts_hide_the_rest_and_take_linear_time(spark):
+    rows = [(1, "http://a.com", "<p>seen</p><script>x<p>not</p>"), (2, "http://a.com", "<p>seen</p><!-- <p>not</p>"), (3, "http://b.com", "<p>x</p>" + "<script" * 60_000)]
+    got = {r.page_id: r.kept for r in linededup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got == {1: "seen", 2: "seen", 3: "x"}
+    assert {r.kept for r in linededup.drop_boilerplate(frame(spark, rows[:2]), min_pages=1).collect()} == {""}
+
+
 # --- mixing ---
 
 DOCS = "doc_id long, text string, lang string, source string"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,26 @@ def test_fingerprints_and_neighbours(spark, rows):
         assert r.near_edited == pytest.approx(brute.likeness(own, new)) and r.near_next == pytest.approx(brute.likeness(own, piecewise.fingerprint(after.encode())))
 
 
+def test_fingerprints_follow_their_rule(rows):
+    r = random.Random(3)
+    gear, signs = piecewise._GEAR.tolist(), piecewise._SIGNS.tobytes().decode()
+    texts = [(t or "").encode() for _, t in rows] + [b"a" * 700, b"ab" * 900, b"abcdefg " * 200, r.randbytes(9000), r.randbytes(64), r.randbytes(65)]
+    texts += [" ".join(f"w{r.randrange(50)}" for _ in range(n)).encode() for n in (20, 300, 3000)]
+    for x in texts:
+        assert piecewise.fingerprint(x) == brute.piecewise(x, gear, signs)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 500_000, "!" * 1_000_000, "word and word, " * 70_000])
+def test_repetitive_megabytes_have_bounded_signatures(spark, text):
+    got = piecewise.fingerprints(frame(spark, [(1, text), (2, text[:-7] + "another")], False)).collect()
+    assert len(got) == 2 and all(len(r.fingerprint) < 48 * piecewise.LENGTH + 30 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_the_least_long_is_a_doc_id_with_neighbours(spark):
+    got = piecewise.fingerprints(frame(spark, [(-(1 << 63), "least"), (None, "no id at all")])).collect()
+    assert {(r.doc_id, r.n_chars) for r in got} == {(-(1 << 63), 5), (None, 12)}
+
+
 def test_neighbours_of_repeated_and_null_ids(spark):
     rows = [(2, "bb"), (2, "bb"), (1, "a" * 40), (None, "n")]
     got = piecewise.fingerprints(frame(spark, rows)).collect()
@@ -122,6 +143,39 @@ def test_long_texts_are_encoded_in_pieces(monkeypatch):
     assert v.encode([text])[0].tolist() == whole == v.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    text = ["Hello world, hello World. " * 10, "x", "", "one two three"]
+    hashes = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda *a: (lambda s, e, h: (s, e, h % np.uint64(7)))(*hashes(*a)))
+    v = tokens.Vocabulary(tokens.vocabulary_path())
+    ids, ends = v.encode(text)
+    want = [v.tokenizer.encode(t, add_special_tokens=False).ids for t in text]
+    assert ids.tolist() == [i for x in want for i in x] and np.diff(ends, prepend=0).tolist() == [len(x) for x in want]
+
+
+def test_a_tokenizer_of_other_words_is_refused():
+    import public_tokenizers
+
+    others = [n for n in _names() if n != tokens.TOKENIZER]
+    refused = 0
+    for n in others:
+        try:
+            tokens.Vocabulary(public_tokenizers.path(n))
+        except ValueError:
+            refused += 1
+        except Exception:  # not a file of this library
+            continue
+    assert refused
+
+
+def _names():
+    import os
+
+    import public_tokenizers
+
+    return sorted(x for x in os.listdir(os.path.dirname(public_tokenizers.path(tokens.TOKENIZER))) if x.endswith(".json"))
+
+
 def test_token_files_of_nothing_and_of_repeated_ids(spark):
     assert tokens.token_files(frame(spark, [])).count() == 0
     got = sorted((r.doc_id or -1, r.n_tokens) for r in tokens.token_files(frame(spark, [(4, "a"), (4, "a"), (4, "b c"), (None, None)])).collect())
@@ -199,6 +253,23 @@ def test_prediction_takes_the_whole_text_and_batches_do_not_matter():
     assert model.langs[int(model.pooled([half])[0].argmax())] == "bb"
 
 
+def test_predictions_equal_the_network_step_by_step(spark):
+    data = [(lang, t.encode()) for lang, t in [(x[2], x[1]) for x in languages(60)] if t]
+    model = language.train(data)
+    cells = [(g.e.tolist(), g.u.tolist(), g.c.ravel().tolist()) for g in (model.forth, model.back)]
+    texts = ["a", "Zwei kurze W\u00f6rter", "one text that is longer than a single window of sixty-four bytes, by some way", "7 \u00e9", ""]
+    want = brute.gru([t.encode() for t in texts], cells, language.STEPS, model.w.tolist(), model.b.ravel().tolist())
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2])]  # a repeated row is a row of its own
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == 6
+    for r in got:
+        p = want[r.doc_id]
+        if any(map(str.isalpha, texts[r.doc_id])):
+            assert r.lang_pred == model.langs[int(np.argmax(p))] and r.score == pytest.approx(max(p), abs=1e-4)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert tuple(language.predict(df).select("lang_pred", "score").first()) == ("und", 0.0)
@@ -235,6 +306,45 @@ def test_toxic_held_out_documents_are_found_and_clean_ones_left(spark):
     assert by[9000].score == by[9001].score < 0.7
 
 
+def test_scores_equal_the_trees_node_by_node(spark):
+    data = comments(240)
+    texts, labels = [toxicity.summary(t) for _, t, _ in data], [y for *_, y in data]
+    for x, (_, t, _) in zip(texts, data, strict=True):
+        x.marks = toxicity._marks(t)
+    model = toxicity.train(texts, labels)
+    odd = ["", "You YOU idiot! st*pid 1diot", "a.b 9x x9 --x-- _a_ !!! c3po", "\u00c9t\u00e9 grobiane Grobian, you? 12:30", "grobian " * 50]
+    rows = [(i, t) for i, (_, t, _) in enumerate(data[:40])] + [(100 + i, t) for i, t in enumerate(odd)] + [(100, ""), (999, None)]
+    trees = [(t.feature.tolist(), t.cut.tolist(), t.leaf.tolist()) for t in model.trees]
+    knots = tuple(x.tolist() for x in model.knots)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), none, model).collect()
+    by = {i: t or "" for i, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        x = brute.toxic_features(by[r.doc_id], model.learned.words, model.learned.stems, set(toxicity.INSULTS), set(toxicity.YOU), toxicity.LOOKS_LIKE)
+        assert toxicity.features(by[r.doc_id], model.learned) == pytest.approx(x, abs=1e-9)
+        assert r.score == pytest.approx(min(1.0, max(0.0, brute.boosted(x, model.start, trees, knots))), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.7)
+
+
+def test_calibration_is_of_labels_and_pools():
+    r = np.random.default_rng(4)
+    raw = r.normal(size=2000)
+    y = (r.random(2000) < 1 / (1 + np.exp(-2 * raw))).astype(float)
+    xs, ys, w = toxicity.pools(raw, y, np.ones(2000))
+    assert w.sum() == 2000 and w.min() >= 1 and (np.diff(xs) > 0).all() and (w * ys).sum() == pytest.approx(y.sum())
+    got = np.interp(raw, *toxicity.isotonic(xs, ys, w))
+    assert np.abs(got - 1 / (1 + np.exp(-2 * raw))).mean() < 0.08
+    assert [x.tolist() for x in toxicity.pools(np.array([1.0, 1.0]), np.array([0.0, 1.0]), np.ones(2))] == [[1.0], [0.5], [2.0]]
+
+
+@pytest.mark.parametrize("text", ["a" + "8" * 1_000_000, "a" + "!" * 1_000_000 + "a", "!" * 1_000_000, "you " * 250_000])
+def test_long_words_take_linear_time(text):
+    began = time.perf_counter()
+    toxicity.features(text, toxicity.Lexicon({"grob": 3.0}, {"grob": 2.0}))
+    assert time.perf_counter() - began < 5
+
+
 def test_long_texts_are_learned_as_a_whole(spark):
     r = random.Random(2)
     calm = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
