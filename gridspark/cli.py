@@ -16,7 +16,7 @@ from gridspark import log, manifest
 from gridspark.clients.llm import provider
 from gridspark.operators import order
 from gridspark.plans import extract as E
-from gridspark.schemas import TABLE_KEY
+from gridspark.schemas import PAGE_KEY, TABLE_KEY
 from gridspark.sinks import files, report, xlsx
 
 SHOWN = 5
@@ -60,20 +60,28 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     where = f"{args.output.rstrip('/')}/{id_}"
     found = spark.read.format("binaryFile").load(args.input).select("path", "content")
     client = provider(cfg.llm_provider, cfg.llm_model or "", cfg.llm_api_key or "") if cfg.extraction_strategy != "heuristic" else None
-    got = E.extract(found, cfg, client, f"{where}/attempts")
+    got = E.extract(found, cfg, client, f"{where}/attempts", work_path=f"{where}/work")
     tables = order.number(got.rows(), *TABLE_KEY, name="table_no").withColumn("table_no", F.col("table_no").cast("int"))
     stats = got.stats().first().asDict(recursive=True)
     logger.info("extracted", extra={"run_id": id_, "tables": stats["tables_extracted"]})
     files.OutputSink("filesystem", args.output).write(id_, manifest.create(cfg, id_=id_), stats, tables.select("table_no", "columns", "rows"))
     ordered = tables.orderBy(*TABLE_KEY)
     if args.excel:
-        xlsx.write(args.excel, [xlsx.Sheet(r["table_id"], r["columns"], r["rows"]) for r in ordered.toLocalIterator()])
+        sure = report.confidences(got.cells, TABLE_KEY)
+        rows = ordered.join(sure, TABLE_KEY, "left").orderBy(*TABLE_KEY).toLocalIterator()
+        xlsx.write(args.excel, [xlsx.Sheet(r["table_id"], r["columns"], r["rows"], r["confidences"]) for r in rows])
     if cfg.enable_debug_artifacts and cfg.generate_html_report:
         html = report.table_html(got.cells, TABLE_KEY).join(got.tables.select(*TABLE_KEY, "table_id"), TABLE_KEY)
         rows = [(r["page_index"], r["table_id"], r["html"]) for r in html.toLocalIterator()]
         folder = Path(cfg.debug_output_dir)
         folder.mkdir(parents=True, exist_ok=True)
         (folder / "report.html").write_text(report.run_report(stats, rows, stats["errors"]), encoding="utf-8")
+    if cfg.enable_debug_artifacts and cfg.generate_overlays and got.layout is not None:
+        shapes = report.overlay_shapes(got.tables.select(*PAGE_KEY, "bbox", "section_label"), got.layout, PAGE_KEY)
+        folder = Path(cfg.debug_output_dir) / "overlays"
+        folder.mkdir(parents=True, exist_ok=True)
+        for i, r in enumerate(report.overlays(shapes, got.sizes, PAGE_KEY).orderBy(*PAGE_KEY).toLocalIterator()):
+            (folder / f"{i:05d}_page_{r['page_index']}.png").write_bytes(bytes(r["png"]))
     odd = got.tables.filter("size(irregularities) > 0").orderBy(*TABLE_KEY).limit(SHOWN).collect()
     print(_summary(stats, odd, stats["errors"] or []))
     print(json.dumps({"run_id": id_, "output": where}))

@@ -115,9 +115,9 @@ def _parses(text: str) -> bool:
 def call_pages(pages: DataFrame, client: Client, primary: str, escalation: str | None, attempts: int, prompt: str = PROMPT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """``pages(doc_id, page_index, image)`` -> a row per call, failed ones with their error.
 
-    All ``attempts`` of the primary model are made, so that votes have something to count; the escalation model is only
-    asked where none of them gave an answer that parses. A failed call waits 1, 2, 4, ... 10 seconds before the next if
-    its error is one that passes, else the model is given up. Write the result to a table before using it twice: a
+    ``attempts`` calls of the primary model are made, so that votes have something to count; the escalation model is only
+    asked where none of them gave an answer that parses. After a call that fails for good, an answer that is no JSON
+    among them, the model's other attempts are not made; an error that passes is waited for, 1, 2, 4, ... 10 seconds. Write the result to a table before using it twice: a
     retried task calls again.
     """
 

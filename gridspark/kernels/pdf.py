@@ -1,8 +1,8 @@
 """A small PDF reader and writer on the standard library.
 
-Reads page sizes, text with positions, and straight rules of files whose streams are plain or Flate-coded, with object
-streams but without encryption; text in simple fonts. Anything else raises PdfError for the file or gives a page without
-text. The writer makes files for tests.
+Reads page sizes, text with positions, straight rules and images of files whose streams are plain or Flate-coded, with
+object streams but without encryption; text in simple fonts, images of whole-byte or one-bit samples. What a page shows
+and this reader cannot (``Page.undrawn``) is named; broken or encrypted files raise PdfError. The writer makes files for tests.
 """
 
 from __future__ import annotations
@@ -49,12 +49,27 @@ class Glyph:
     y1: float
 
 
+@dataclass
+class Image:
+    """Gray samples, row by row from the top, and their place on the page."""
+
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    w: int
+    h: int
+    gray: bytes
+
+
 @dataclass
 class Page:
     width: float
     height: float
     words: list[Glyph] = field(default_factory=list)
     rules: list[tuple[float, float, float, float]] = field(default_factory=list)
+    images: list[Image] = field(default_factory=list)
+    undrawn: list[str] = field(default_factory=list)
 
 
 _TOKEN = re.compile(
@@ -233,6 +248,39 @@ def _times(a, b):
     )
 
 
+def _gray(doc: Document, x: Stream, w: int, h: int) -> bytes:
+    """The gray values of an image of DeviceGray, DeviceRGB or DeviceCMYK samples, or of a one-bit image or mask."""
+    bits = doc.get(x.info.get("BitsPerComponent")) or 1
+    space = doc.get(x.info.get("ColorSpace")) or "DeviceGray"
+    kinds = {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3, "DeviceCMYK": 4}
+    name = doc.get(space[0]) if isinstance(space, list) and space else space
+    if name == "ICCBased":
+        n = doc.get(doc.get(space[1]).info["N"])
+    elif name in kinds:
+        n = kinds[name]
+    else:
+        raise PdfError(f"colour space {name}")
+    if "DecodeParms" in x.info and (doc.get(doc.get(x.info["DecodeParms"]) or {}) or {}).get("Predictor", 1) != 1:
+        raise PdfError("predicted samples")
+    flip = [float(v) for v in doc.get(x.info.get("Decode")) or (0, 1)][0] == 1
+    data = x.data()
+    if bits == 1 and n == 1:
+        rows = [data[i : i + (w + 7) // 8] for i in range(0, h * ((w + 7) // 8), (w + 7) // 8)]
+        out = b"".join(bytes(255 * (row[i >> 3] >> (7 - (i & 7)) & 1) for i in range(w)) for row in rows)
+    elif bits == 8 and n == 1:
+        out = data[: w * h]
+    elif bits == 8 and n == 3:
+        out = bytes((299 * r + 587 * g + 114 * b) // 1000 for r, g, b in zip(data[0 : 3 * w * h : 3], data[1 : 3 * w * h : 3], data[2 : 3 * w * h : 3], strict=True))
+    elif bits == 8 and n == 4:
+        ink = zip(*(data[i : 4 * w * h : 4] for i in range(4)), strict=True)
+        out = bytes(max(0, 255 - k - (299 * c + 587 * m + 114 * y) // 1000) for c, m, y, k in ink)
+    else:
+        raise PdfError(f"samples of {bits} bits")
+    if len(out) != w * h:
+        raise PdfError("too few samples")
+    return bytes(255 - v for v in out) if flip else out
+
+
 _UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
@@ -242,13 +290,42 @@ class _Interpreter:
     def __init__(self, doc: Document, node: dict, page: Page, left: float, top: float) -> None:
         self.doc, self.page, self.left, self.top = doc, page, left, top
         resources = doc.get(node.get("Resources")) or {}
-        self.fonts = doc.get(resources.get("Font")) or {}
+        self.resources(resources)
+        self.depth = 0
         self.ctm, self.saved = _UNIT, []
         self.tm = self.line = _UNIT
         self.size, self.leading, self.char, self.word, self.scale = 1.0, 0.0, 0.0, 0.0, 1.0
         self.widths: dict[int, float] = {}
         self.at, self.path = (0.0, 0.0), []
 
+    def resources(self, found: dict) -> None:
+        self.fonts, self.objects = (self.doc.get(found.get(k)) or {} for k in ("Font", "XObject"))
+
+    def draw(self, name):
+        """An image, or a form: a content stream of its own."""
+        x = self.doc.get(self.objects.get(name))
+        if not isinstance(x, Stream):
+            return
+        try:
+            if x.info.get("Subtype") == "Form" and self.depth < 8:
+                kept = self.ctm, self.fonts, self.objects, self.saved
+                self.ctm, self.saved = _times(tuple(map(float, self.doc.get(x.info.get("Matrix")) or _UNIT)), self.ctm), []
+                if inner := self.doc.get(x.info.get("Resources")):
+                    self.resources(inner)
+                self.depth += 1
+                self.run(x.data())
+                self.depth -= 1
+                self.ctm, self.fonts, self.objects, self.saved = kept
+            elif x.info.get("Subtype") == "Image":
+                w, h = (int(self.doc.get(x.info[k])) for k in ("Width", "Height"))
+                gray = _gray(self.doc, x, w, h)
+                (xa, ya), (xb, yb) = self._point(_UNIT, 0, 1), self._point(_UNIT, 1, 0)
+                if abs(self.ctm[1]) + abs(self.ctm[2]) > 1e-6 or self.ctm[0] < 0 or self.ctm[3] < 0:
+                    raise PdfError("turned image")
+                self.page.images.append(Image(min(xa, xb), min(ya, yb), max(xa, xb), max(ya, yb), w, h, gray))
+        except (PdfError, KeyError, TypeError, ValueError, zlib.error) as e:
+            self.page.undrawn.append(f"{x.info.get('Subtype')} {name}: {e}")
+
     def run(self, data: bytes) -> None:
         stack: list = []
         stream = _tokens(data)
@@ -373,12 +450,13 @@ class _Interpreter:
 _OPERATORS = {
     "q": "save", "Q": "restore", "cm": "concat", "BT": "begin", "Tf": "font", "Td": "move", "TD": "move_leading", "Tm": "matrix", "T*": "next_line",
     "TL": "set_leading", "Tc": "set_char", "Tw": "set_word", "Tz": "set_scale", "Tj": "show", "'": "show_line", '"': "show_spaced", "TJ": "show_all",
-    "m": "path_move", "l": "path_line", "re": "path_box", "S": "stroke", "s": "stroke", "B": "stroke", "f": "drop", "F": "drop", "n": "drop", "f*": "drop",
+    "m": "path_move", "l": "path_line", "re": "path_box", "S": "stroke", "s": "stroke", "B": "stroke", "f": "drop", "F": "drop", "n": "drop", "f*": "drop", "Do": "draw",
 }
 
 
 def write(pages: list[dict], width: float = 612, height: float = 792, compress: bool = True) -> bytes:
-    """A file of pages with ``texts`` (x, y from the top, text), ``lines`` (x0, y0, x1, y1) and ``boxes`` (x, y, w, h)."""
+    """A file of pages with ``texts`` (x, y from the top, text), ``lines`` (x0, y0, x1, y1), ``boxes`` (x, y, w, h) and
+    ``images`` (x, y from the top, width, height, columns, rows, gray bytes; a filter's name may follow)."""
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
     kids = []
     for p in pages:
@@ -388,11 +466,16 @@ def write(pages: list[dict], width: float = 612, height: float = 792, compress:
             ops.append(b"BT /F1 10 Tf %g %g Td (%s) Tj ET" % (x, height - y, safe))
         ops += [b"%g %g m %g %g l S" % (a, height - b, c, height - d) for a, b, c, d in p.get("lines", ())]
         ops += [b"%g %g %g %g re S" % (x, height - y - h, w, h) for x, y, w, h in p.get("boxes", ())]
+        named = []
+        for i, (x, y, w, h, columns, rows, data, *how) in enumerate(p.get("images", ())):
+            objects.append(b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 8 %s/Length %d >>\nstream\n%s\nendstream" % (columns, rows, b"/Filter /%s " % how[0] if how else b"", len(data), data))
+            named.append(b"/I%d %d 0 R" % (i, len(objects)))
+            ops.append(b"q %g 0 0 %g %g %g cm /I%d Do Q" % (w, h, x, height - y - h, i))
         body = b"\n".join(ops)
         body, how = (zlib.compress(body), b"/Filter /FlateDecode ") if compress else (body, b"")
         n = len(objects) + 1
         kids.append(b"%d 0 R" % n)
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %g %g] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (width, height, n + 1))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %g %g] /Resources << /Font << /F1 3 0 R >> /XObject << %s >> >> /Contents %d 0 R >>" % (width, height, b" ".join(named), n + 1))
         objects.append(b"<< %s/Length %d >>\nstream\n%s\nendstream" % (how, len(body), body))
     objects[1] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(kids), len(kids))
     out, places = bytearray(b"%PDF-1.4\n"), []

@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from gridspark.kernels import font
+
 
 def adaptive_threshold(gray: np.ndarray, size: int, c: float) -> np.ndarray:
     """True for ink: pixels at or below the Gaussian-weighted mean of their surroundings less ``c``; edges are repeated."""
@@ -143,9 +145,38 @@ def vertical_lines(gray: np.ndarray, min_length: int = 40, gap: int = 5, kernel:
     return horizontal_lines(np.ascontiguousarray(gray.T), min_length, gap, kernel, times)
 
 
-def render(width: int, height: int, lines=(), boxes=(), thickness: int = 2) -> np.ndarray:
-    """A white page with rules ``(x0, y0, x1, y1)`` stroked and boxes filled, in pixels."""
+def _sampled(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The nearest pixels of ``image`` at another size."""
+    return image[np.arange(height) * image.shape[0] // height][:, np.arange(width) * image.shape[1] // width]
+
+
+def _part(page: np.ndarray, box) -> tuple[np.ndarray, int, int, int, int]:
+    """The part of a page inside ``box``, and the box's whole height and width and where in it the part begins."""
+    x0, y0, x1, y1 = (round(v) for v in box)
+    part = page[max(0, y0) : max(0, y1), max(0, x0) : max(0, x1)]
+    return part, max(1, y1 - y0), max(1, x1 - x0), max(0, -y0), max(0, -x0)
+
+
+def paint(page: np.ndarray, images) -> None:
+    """Gray images ``(box, pixels)`` onto a page."""
+    for box, pixels in images:
+        part, h, w, top, left = _part(page, box)
+        if part.size and pixels.size:
+            part[:] = _sampled(pixels, h, w)[top : top + part.shape[0], left : left + part.shape[1]]
+
+
+def write_words(page: np.ndarray, words) -> None:
+    """Words ``(box, text)`` in dots that fill their boxes."""
+    for box, text in words:
+        part, h, w, top, left = _part(page, box)
+        if part.size and text:
+            part[_sampled(font.dots(text), h, w)[top : top + part.shape[0], left : left + part.shape[1]]] = 0
+
+
+def render(width: int, height: int, lines=(), boxes=(), thickness: int = 2, images=()) -> np.ndarray:
+    """A white page with images painted, rules ``(x0, y0, x1, y1)`` stroked and boxes filled, in pixels."""
     page = np.full((height, width), 255, np.uint8)
+    paint(page, images)
     for x0, y0, x1, y1 in lines:
         a, b = sorted((round(y0), round(y1)))
         c, d = sorted((round(x0), round(x1)))
@@ -171,6 +202,17 @@ def draw(gray: np.ndarray, shapes: list[tuple[str, float, float, float, float]])
     return rgb
 
 
+def unpng(data: bytes) -> np.ndarray:
+    """The gray image of a file that :func:`png` made."""
+    w, h = struct.unpack(">II", data[16:24])
+    at, parts = 8, []
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        parts += [data[at + 8 : at + 8 + n]] if kind == b"IDAT" else []
+        at += 12 + n
+    return np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, w + 1)[:, 1:]
+
+
 def png(image: np.ndarray) -> bytes:
     """A gray (h, w) or RGB (h, w, 3) image as a PNG file."""
     h, w = image.shape[:2]

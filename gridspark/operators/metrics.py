@@ -110,7 +110,7 @@ def bootstrap(tables: DataFrame, n_truth: int, replicates: int = 1000, confidenc
     n = tables.count()
     if not n:
         return spark.createDataFrame([(0.0, 0.0)], "lower double, upper double")
-    draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draws = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("draw"))
     draws = draws.withColumn("ord", resample_index(F.col("replicate"), F.col("draw"), F.lit(n), seed))
     tables = tables.select("ord", *dict.fromkeys(_MEANS.values()))
     tables = F.broadcast(tables) if n <= SMALL else tables

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows between cuts, about, and cuts at most.
 STRETCH = 50_000
-MAX_CUTS = 1000
+MAX_CUTS = 4000
 _STEP = 32
 
 

@@ -8,24 +8,48 @@ from pyspark.sql import functions as F
 from gridspark.functions import text as T
 
 
+_SUMS = ("tables_detected", "tables_extracted", "tables_failed", "cells_with_text", "total_cells", "llm_fallback_count", "calls_primary", "calls_escalation", "tokens_in", "tokens_out")
+
+
 def run_stats(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per ``keys`` (one in all without): sums, weighted mean confidence, durations over those above 0,
-    errors in page order and models in order of first use."""
+    errors in page order and models in order of first use.
+
+    Pages are added up by model first, with partial sums, so that a run's row gathers its models and the pages with
+    errors but not every page.
+    """
+    keys = keys or []
     busy = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
     of = F.when(F.col("confidence_count") > 0, F.col("confidence_sum"))
-    first = F.array_sort(F.collect_list(F.struct("page_index", "errors")))
-    models = F.array_sort(F.collect_set(F.when(F.coalesce("model", F.lit("")) != "", F.struct("page_index", "model"))))
+    part = pages.groupBy(*keys, F.coalesce("model", F.lit("")).alias("_model")).agg(
+        F.count(F.lit(1)).alias("_pages"),
+        F.count_if("skipped").alias("_skipped"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.sum(of).alias("_of"),
+        F.sum("confidence_count").alias("_count"),
+        F.min(busy).alias("_min"),
+        F.max(busy).alias("_max"),
+        F.sum(busy).alias("_busy"),
+        F.count(busy).alias("_n"),
+        F.min("page_index").alias("_first"),
+        F.collect_list(F.when(F.size("errors") > 0, F.struct("page_index", "errors"))).alias("_errors"),
+    )
+    faults = F.array_sort(F.flatten(F.collect_list("_errors")))
+    models = F.array_sort(F.collect_list(F.when(F.col("_model") != "", F.struct("_first", "_model"))))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = pages.groupBy(*(keys or [])).agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.count_if("skipped").alias("pages_skipped"),
-        *[F.sum(c).alias(c) for c in ("tables_detected", "tables_extracted", "tables_failed", "cells_with_text", "total_cells", "llm_fallback_count")],
-        zero(F.try_divide(F.sum(of), F.sum("confidence_count"))).alias("average_confidence"),
-        *[zero(f(busy)).alias(f"{n}_page_duration_ms") for n, f in (("min", F.min), ("max", F.max), ("average", F.avg))],
-        zero(F.sum(busy)).alias("busy_ms"),
-        *[F.sum(c).alias(c) for c in ("calls_primary", "calls_escalation", "tokens_in", "tokens_out")],
-        F.flatten(F.transform(first, lambda x: x["errors"])).alias("errors"),
-        F.array_distinct(F.transform(models, lambda x: x["model"])).alias("models_used"),
+    none = F.lit(0).cast("bigint")
+    out = part.groupBy(*keys).agg(
+        F.coalesce(F.sum("_pages"), none).alias("pages"),
+        F.coalesce(F.sum("_skipped"), none).alias("pages_skipped"),
+        *[F.sum(c).alias(c) for c in _SUMS[:6]],
+        zero(F.try_divide(F.sum("_of"), F.sum("_count"))).alias("average_confidence"),
+        zero(F.min("_min")).alias("min_page_duration_ms"),
+        zero(F.max("_max")).alias("max_page_duration_ms"),
+        zero(F.try_divide(F.sum("_busy"), F.sum("_n"))).alias("average_page_duration_ms"),
+        zero(F.sum("_busy")).alias("busy_ms"),
+        *[F.sum(c).alias(c) for c in _SUMS[6:]],
+        F.flatten(F.transform(faults, lambda x: x["errors"])).alias("errors"),
+        F.transform(models, lambda x: x["_model"]).alias("models_used"),
     )
     return out
 
@@ -68,13 +92,17 @@ def _entries(manifest: DataFrame) -> DataFrame:
     return one.union(packages).union(parts.select(F.lit("component").alias("kind"), "name", "value"))
 
 
-def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``kind, name, first, second`` of everything that differs, missing entries as null."""
-    x = _entries(a).withColumnRenamed("value", "first")
-    y = _entries(b).withColumnRenamed("value", "second")
+def entries_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Entries ``kind, name, value`` of two manifests, of any number -> ``kind, name, first, second`` of those that differ, missing ones as null."""
+    x, y = a.withColumnRenamed("value", "first"), b.withColumnRenamed("value", "second")
     return x.join(y, ["kind", "name"], "full_outer").filter(~F.col("first").eqNullSafe(F.col("second")))
 
 
+def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``kind, name, first, second`` of everything that differs between two manifests, missing entries as null."""
+    return entries_diff(_entries(a), _entries(b))
+
+
 def merged_config(layers: DataFrame, order: list[str]) -> DataFrame:
     """``key`` and one value column per layer -> ``key, value, layer`` of the last layer in ``order`` that sets it."""
     last = list(reversed(order))

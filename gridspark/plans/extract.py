@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.clients.llm import Client, call_pages
+from gridspark.clients.llm import Client, call_cells, call_pages, crop
 from gridspark.config import PipelineConfig
 from gridspark.functions import geometry as G
 from gridspark.functions import text as T
 from gridspark.operators import assemble, grid, runstats, verify, vote
 from gridspark.schemas import PAGE_KEY, TABLE_KEY
-from gridspark.sources.pdf import PRIMITIVES, PdfFrames, read_pdf
+from gridspark.sources.pdf import PRIMITIVES, PdfFrames, frames, read_pdf
 
 _BOX = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
-_SEEN = f"doc_id string, page_index int, img_w int, img_h int, panels {_BOX}, text_boxes {_BOX}, h_lines array<double>, v_lines array<double>, image binary"
+_SEEN = f"doc_id string, page_index int, img_w int, img_h int, panels {_BOX}, text_boxes {_BOX}, h_lines array<double>, v_lines array<double>, image binary, undrawn array<string>"
 
 
 @dataclass
@@ -31,6 +31,9 @@ class Extraction:
     tables: DataFrame
     pages: DataFrame
     errors: DataFrame
+    #: Cells with their boxes in pixels, and the sizes of the pages, where there is a layout to draw.
+    layout: DataFrame | None = None
+    sizes: DataFrame | None = None
 
     def stats(self, by_document: bool = False) -> DataFrame:
         return runstats.run_stats(self.pages, ["doc_id"] if by_document else None)
@@ -41,15 +44,19 @@ class Extraction:
 
 
 def _rasterise(config: PipelineConfig, with_image: bool):
-    """Renders a page from its primitives at the wanted resolution and looks for panels, text boxes and lines in it."""
+    """Renders a page from its primitives at the wanted resolution and looks for panels, text boxes and lines in it.
+
+    For the search words are filled boxes; the image that a model gets shows their characters, and ``undrawn`` names what it does not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gridspark.kernels import font
         from gridspark.kernels import raster as R
 
         boxes = pa.list_(pa.struct([(s, pa.float64()) for s in G.SIDES]))
         schema = pa.schema([
             ("doc_id", pa.string()), ("page_index", pa.int32()), ("img_w", pa.int32()), ("img_h", pa.int32()), ("panels", boxes), ("text_boxes", boxes),
-            ("h_lines", pa.list_(pa.float64())), ("v_lines", pa.list_(pa.float64())), ("image", pa.binary()),
+            ("h_lines", pa.list_(pa.float64())), ("v_lines", pa.list_(pa.float64())), ("image", pa.binary()), ("undrawn", pa.list_(pa.string())),
         ])
         k = (config.dpi or 200) / 72
         sides = lambda found: [dict(zip(G.SIDES, (float(x), float(y), float(x + w), float(y + h)), strict=True)) for x, y, w, h in found]
@@ -67,20 +74,25 @@ def _rasterise(config: PipelineConfig, with_image: bool):
                 w, h = max(1, round(p["width"] * k)), max(1, round(p["height"] * k))
                 rules = [[r[s] * k for s in G.SIDES] for r in p["rules"]]
                 words = [[x[s] * k for s in G.SIDES] for x in p["words"]]
-                gray = R.render(w, h, rules, words)
+                images = [([x[s] * k for s in G.SIDES], np.frombuffer(x["gray"], np.uint8).reshape(x["h"], x["w"])) for x in p["images"] or ()]
+                gray = R.render(w, h, rules, words, images=images)
                 row = {"doc_id": p["doc_id"], "page_index": p["page_index"], "img_w": w, "img_h": h, "panels": [], "text_boxes": [], "h_lines": [], "v_lines": []}
                 if config.enable_section_detection:
                     row["panels"] = sides(R.panels(gray))
                 if config.enable_irregular_structure_detection:
                     row["text_boxes"] = sides(R.text_boxes(gray))
                 if config.enable_line_detection:
-                    ruled = R.render(w, h, rules)  # words would hide short rules between them
+                    ruled = R.render(w, h, rules, images=images)  # words would hide short rules between them
                     found = lines(ruled, settings)
                     if min(map(len, found)) < 2:
                         found = lines(ruled, grid.relaxed(settings))
                     row["h_lines"], row["v_lines"] = found
                 if with_image:
-                    row["image"] = R.png(gray)
+                    picture = R.render(w, h, rules, images=images)
+                    R.write_words(picture, zip(words, (x["text"] for x in p["words"]), strict=True))
+                    row["image"] = R.png(picture)
+                    strange = sorted({c for x in p["words"] for c in font.unknown(x["text"])})
+                    row["undrawn"] = [*(p["undrawn"] or ()), *([f"characters {' '.join(strange)}"] if strange else ())]
                 yield pa.RecordBatch.from_pylist([row], schema)
 
     return run
@@ -94,7 +106,7 @@ class Strategy(Protocol):
 
 def see(source: PdfFrames, config: PipelineConfig, with_image: bool = False) -> DataFrame:
     good = source.primitives.filter("error is null and page_index is not null")
-    return good.select(*[c.split()[0] for c in PRIMITIVES.split(", ") if c.split()[0] in ("doc_id", "page_index", "width", "height", "words", "rules")]).mapInArrow(_rasterise(config, with_image), _SEEN)
+    return good.select(*[c.split()[0] for c in PRIMITIVES.split(", ") if c.split()[0] in ("doc_id", "page_index", "width", "height", "words", "rules", "images", "undrawn")]).mapInArrow(_rasterise(config, with_image), _SEEN)
 
 
 def _page_results(pages: DataFrame, tables: DataFrame, errors: DataFrame, extra: dict) -> DataFrame:
@@ -119,9 +131,41 @@ def _page_results(pages: DataFrame, tables: DataFrame, errors: DataFrame, extra:
     return out.withColumns(fixed)
 
 
-def heuristic(source: PdfFrames, config: PipelineConfig, answers: DataFrame | None = None) -> Extraction:
-    """Regions, the first grid of ragged, ruled and even that is there, text of the page's tokens or placeholders."""
-    seen = see(source, config)
+def _kept(df: DataFrame, path: str | None, name: str) -> DataFrame:
+    """``df``, written once under ``path`` and read back if there is one, so that what uses it does not make it anew."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def crops(cells: DataFrame, seen: DataFrame) -> DataFrame:
+    """Cells ``TABLE_KEY, row_index, col_index, bbox`` -> the same with ``image``, their part of the page's picture; one page's cells meet in one row."""
+    one = F.struct("table_idx", "row_index", "col_index", *[F.col(f"bbox.{s}").alias(s) for s in G.SIDES])
+    pages = cells.groupBy(*PAGE_KEY).agg(F.collect_list(one).alias("cells")).join(seen.select(*PAGE_KEY, "image"), PAGE_KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gridspark.kernels import raster as R
+
+        schema = pa.schema([("doc_id", pa.string()), ("page_index", pa.int32()), ("table_idx", pa.int32()), ("row_index", pa.int32()), ("col_index", pa.int32()), ("image", pa.binary())])
+        for b in batches:
+            for p in b.to_pylist():
+                gray = R.unpng(p["image"])
+                place = {k: p[k] for k in PAGE_KEY}
+                rows = [place | {k: c[k] for k in ("table_idx", "row_index", "col_index")} | {"image": crop(gray, None if c["x0"] is None else [c[s] for s in G.SIDES])} for c in p["cells"]]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return pages.mapInArrow(run, "doc_id string, page_index int, table_idx int, row_index int, col_index int, image binary")
+
+
+def heuristic(source: PdfFrames, config: PipelineConfig, answers: DataFrame | None = None, client: Client | None = None, path: str | None = None) -> Extraction:
+    """Regions, the first grid of ragged, ruled and even that is there, text of the page's tokens or placeholders.
+
+    With a client and where the settings ask for it, cells whose text is less sure than the threshold are shown to the
+    model one by one; ``answers`` takes the place of its calls. ``path`` keeps what is made once.
+    """
+    ask = client is not None and answers is None and config.llm_fallback_enabled
+    seen = _kept(see(source, config, ask), path, "seen")
     pages = seen.select(*PAGE_KEY, F.col("img_w").cast("double").alias("width"), F.col("img_h").cast("double").alias("height"))
     panels = seen.select(*PAGE_KEY, F.explode("panels").alias("bbox"))
     regions = grid.panel_regions(panels, pages) if config.enable_section_detection else grid.full_page_regions(pages)
@@ -150,8 +194,13 @@ def heuristic(source: PdfFrames, config: PipelineConfig, answers: DataFrame | No
     k = F.lit(float(config.dpi or 200))
     tokens = source.tokens.withColumn("bbox", G.points_to_pixels(F.col("bbox"), k))
     cells = assemble.fill_from_tokens(cells, tokens, TABLE_KEY)
-    if answers is not None and config.llm_fallback_enabled:
-        cells = assemble.llm_fallback(assemble.fill_placeholder(cells), answers, TABLE_KEY, config.ocr_confidence_threshold)
+    if (ask or answers is not None) and config.llm_fallback_enabled:
+        cells = assemble.fill_placeholder(cells)
+        if ask:
+            unsure = _kept(cells, path, "cells").filter(F.col("text_confidence") < config.ocr_confidence_threshold)
+            calls = call_cells(crops(unsure.select(*TABLE_KEY, "row_index", "col_index", "bbox"), seen), client, config.llm_model or "gemini-2.5-pro", TABLE_KEY)
+            answers = _kept(calls, path, "cell_answers")
+        cells = assemble.llm_fallback(cells, answers, TABLE_KEY, config.ocr_confidence_threshold)
     dims = cells.groupBy(*TABLE_KEY, "strategy").agg((F.max("row_index") + 1).alias("n_rows"), (F.max("col_index") + 1).alias("n_cols"))
     stats = assemble.table_stats(cells, TABLE_KEY)
     tables = regions.select(*TABLE_KEY, "bbox", "section_label").join(dims, TABLE_KEY, "left").join(stats, TABLE_KEY, "left")
@@ -167,7 +216,8 @@ def heuristic(source: PdfFrames, config: PipelineConfig, answers: DataFrame | No
     tables = tables.withColumns({"table_id": name, "status": status})
     values = assemble.assemble(cells, dims, TABLE_KEY, config.ragged_fill_value)
     values = values.join(cells.select(*TABLE_KEY, "row_index", "col_index", F.col("text_confidence").alias("confidence")), [*TABLE_KEY, "row_index", "col_index"], "left")
-    return Extraction(values, tables, _page_results(pages, tables, source.errors, {}), source.errors)
+    layout = cells.select(*TABLE_KEY, "row_index", "col_index", "bbox", "is_filler", F.lit(None).cast("string").alias("structure_source"))
+    return Extraction(values, tables, _page_results(pages, tables, source.errors, {}), source.errors, layout, seen.select(*PAGE_KEY, "img_w", "img_h"))
 
 
 def from_attempts(source: PdfFrames, attempts: DataFrame, config: PipelineConfig) -> Extraction:
@@ -209,24 +259,30 @@ def from_attempts(source: PdfFrames, attempts: DataFrame, config: PipelineConfig
     return Extraction(cells, tables, _page_results(source.pages, tables, errors, {"calls": calls}), errors)
 
 
-def extract(files: DataFrame, config: PipelineConfig, client: Client | None = None, attempts_path: str | None = None, strategy: Strategy | None = None) -> Extraction:
+def extract(files: DataFrame, config: PipelineConfig, client: Client | None = None, attempts_path: str | None = None, strategy: Strategy | None = None, work_path: str | None = None) -> Extraction:
     """``files(path, content)`` -> tables, by the strategy of ``config``.
 
     The model strategy needs a client and a path for its attempts, which are written once and read back, so that a
-    retried task does not call the model again.
+    retried task does not call the model again. A page with something that cannot be drawn is not shown to the model but
+    an error. With ``work_path`` the pages' primitives and what is seen on them are written there once and read back.
     """
     wanted = None
     if config.page_indices is not None:
         wanted = files.select(F.col("path").alias("doc_id")).withColumn("indices", F.array(*[F.lit(i) for i in config.page_indices]).cast("array<int>"))
     source = read_pdf(files, wanted)
+    if work_path is not None:
+        source = frames(_kept(source.primitives, work_path, "primitives"))
     if strategy is not None:
         return strategy(source, config)
     if config.extraction_strategy == "heuristic":
-        return heuristic(source, config)
+        return heuristic(source, config, client=client if config.llm_fallback_enabled else None, path=work_path)
     if client is None or attempts_path is None:
         raise ValueError("the model strategy needs a client and a path for its attempts")
     escalation = config.llm_model_escalation if config.enable_auto_escalation else None
-    calls = call_pages(see(source, config, True), client, config.llm_model or "gemini-2.5-pro", escalation, config.llm_consistency_attempts)
+    seen = _kept(see(source, config, True), work_path, "seen")
+    refused = seen.filter(F.size("undrawn") > 0).select(*PAGE_KEY, F.concat(F.lit("page cannot be drawn: "), F.array_join("undrawn", "; ")).alias("error"))
+    source = replace(source, errors=source.errors.unionByName(refused))
+    calls = call_pages(seen.filter(F.coalesce(F.size("undrawn"), F.lit(0)) <= 0), client, config.llm_model or "gemini-2.5-pro", escalation, config.llm_consistency_attempts)
     calls.write.mode("overwrite").parquet(attempts_path)
     return from_attempts(source, files.sparkSession.read.parquet(attempts_path), config)
 

@@ -688,15 +688,14 @@ def batch_summary(t: Tables) -> DataFrame:
 SELECT 'git_commit' AS kind, '' AS name, 'a' AS "first", 'b' AS "second" UNION ALL SELECT 'package', name, a.v, b.v FROM a FULL JOIN b USING (name) WHERE a.v IS DISTINCT FROM b.v"""
 )
 def manifest_diff(t: Tables) -> DataFrame:
-    def manifest(commit: str, rows: DataFrame) -> DataFrame:
-        pairs = rows.agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("package_versions"))
-        none = F.array().cast("array<struct<name:string,version:string>>")
-        return pairs.withColumns({"git_commit": F.lit(commit), "config_digest": F.lit("same"), "components": none})
+    def entries(commit: str, rows: DataFrame) -> DataFrame:
+        packages = rows.select(F.lit("package").alias("kind"), "name", "v")
+        return t.spark.sql(f"SELECT 'git_commit' AS kind, '' AS name, '{commit}' AS value UNION ALL SELECT 'config_digest', '', 'same'").union(packages)
 
     s = t("supplier")
     a = s.filter("s_suppkey % 3 > 0").select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("v"))
     b = s.filter("s_suppkey % 4 > 0").select(F.col("s_name").alias("name"), (F.col("s_nationkey") + F.col("s_suppkey") % 2).cast("string").alias("v"))
-    return runstats.manifest_diff(manifest("a", a), manifest("b", b))
+    return runstats.entries_diff(entries("a", a), entries("b", b))
 
 
 @_query(

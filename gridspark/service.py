@@ -59,7 +59,7 @@ class Jobs:
         self._put(job | {"status": "processing"})
         try:
             source = pdf.from_bytes(self.spark, {job["name"]: data})
-            got = E.extract(source, self.config, self.client, str(self.folder / "attempts" / job["job_id"]))
+            got = E.extract(source, self.config, self.client, str(self.folder / "attempts" / job["job_id"]), work_path=str(self.folder / "work" / job["job_id"]))
             tables = order.number(got.rows(), *TABLE_KEY, name="table_no").withColumn("table_no", F.col("table_no").cast("int"))
             stats = got.stats().first().asDict(recursive=True)
             files.OutputSink("filesystem", str(self.folder / "results")).write(job["job_id"], manifest.create(self.config, id_=job["job_id"]), stats, tables)

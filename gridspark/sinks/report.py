@@ -26,6 +26,13 @@ def table_html(values: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
 
 
+def confidences(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, confidences``: those of each table's cells, row by row, for a workbook's colours."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("col_index", "confidence"))), lambda x: x["confidence"])
+    rows = values.groupBy(*keys, "row_index").agg(line.alias("line"))
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"]).alias("confidences"))
+
+
 def run_report(stats: Mapping[str, Any], tables: list[tuple[int, str, str]], errors: list[str]) -> str:
     """A page of metrics, tables ``(page, id, html)`` by page, and errors."""
     metrics = "".join(f"<tr><th>{escape(str(k))}</th><td>{escape(str(v))}</td></tr>" for k, v in stats.items())

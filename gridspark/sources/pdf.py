@@ -13,8 +13,9 @@ from gridspark.functions import geometry as G
 from gridspark.schemas import BBOX
 
 _WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>"
+_IMAGES = "array<struct<x0:double,y0:double,x1:double,y1:double,w:int,h:int,gray:binary>>"
 _RULES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
-PRIMITIVES = f"doc_id string, page_index int, page_count int, width double, height double, words {_WORDS}, rules {_RULES}, error string"
+PRIMITIVES = f"doc_id string, page_index int, page_count int, width double, height double, words {_WORDS}, rules {_RULES}, images {_IMAGES}, undrawn array<string>, error string"
 
 
 @dataclass
@@ -35,7 +36,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("doc_id", pa.string()), ("page_index", pa.int32()), ("page_count", pa.int32()), ("width", pa.float64()), ("height", pa.float64()),
         ("words", pa.list_(pa.struct([("text", pa.string()), *((s, pa.float64()) for s in G.SIDES)]))),
-        ("rules", pa.list_(pa.struct([(s, pa.float64()) for s in G.SIDES]))), ("error", pa.string()),
+        ("rules", pa.list_(pa.struct([(s, pa.float64()) for s in G.SIDES]))),
+        ("images", pa.list_(pa.struct([*((s, pa.float64()) for s in G.SIDES), ("w", pa.int32()), ("h", pa.int32()), ("gray", pa.binary())]))),
+        ("undrawn", pa.list_(pa.string())), ("error", pa.string()),
     ])
     for b in batches:
         for doc_id, content, wanted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -52,6 +55,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     try:
                         p = doc.page(i)
                         row |= {"width": p.width, "height": p.height, "words": [vars(w) for w in p.words], "rules": [dict(zip(G.SIDES, r, strict=True)) for r in p.rules]}
+                        row |= {"images": [vars(x) for x in p.images], "undrawn": p.undrawn}
                     except Exception as e:  # noqa: BLE001
                         row["error"] = f"{type(e).__name__}: {e}"
                     rows.append(row)

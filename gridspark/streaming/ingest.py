@@ -28,7 +28,7 @@ def run(spark: SparkSession, folder: str, out: str, config: PipelineConfig, clie
     """
 
     def handle(files: DataFrame, batch: int) -> None:
-        got = E.extract(files.select("path", "content"), config, client, f"{out}/attempts/batch={batch}")
+        got = E.extract(files.select("path", "content"), config, client, f"{out}/attempts/batch={batch}", work_path=f"{out}/work/batch={batch}")
         got.cells.write.mode("overwrite").parquet(f"{out}/cells/batch={batch}")
         got.tables.write.mode("overwrite").parquet(f"{out}/tables/batch={batch}")
         pages = got.pages.groupBy("doc_id").agg(F.max(F.when(F.col("tables_extracted") > 0, 1).otherwise(0)).alias("any"), F.flatten(F.collect_list("errors")).alias("errors"))

@@ -93,6 +93,74 @@ def test_panels_become_regions_in_reading_order(spark):
     assert labels == [(0, "section_1"), (1, "section_2")]
 
 
+def test_pictures_show_the_words():
+    """Every dot of a word is in its box on the page, so the characters can be told apart; here they are read back."""
+    from gridspark.kernels import font, raster
+
+    page = raster.render(400, 120)
+    words = [((10, 10, 10 + 12 * 7, 37), "Total 8B"[:7]), ((10, 60, 10 + 12 * 9, 87), "1,240.50%"), ((150, 10, 150 + 18 * 4, 46), "caf\u00e9")]
+    raster.write_words(page, words)
+    glyphs = {c: font.dots(c) for c in map(chr, range(32, 127))} | {"\u00e9": font.dots("\u00e9")}
+    assert len({g.tobytes() for g in glyphs.values()}) == len(glyphs)
+    for (x0, y0, x1, y1), text in words:
+        part, got = page[y0:y1, x0:x1] == 0, ""
+        for i in range(len(text)):
+            cell = part[:, i * (x1 - x0) // len(text) : (i + 1) * (x1 - x0) // len(text)]
+            small = cell[(np.arange(font.HIGH) * cell.shape[0]) // font.HIGH + 1][:, (np.arange(font.WIDE) * cell.shape[1]) // font.WIDE + 1]
+            got += next(c for c, g in glyphs.items() if (g == small).all())
+        assert got == text
+    assert font.unknown("a\u00e9 \u4e2d") == {"\u4e2d"}
+    assert (raster.unpng(raster.png(page)) == page).all()
+
+
+def test_scans_are_painted_and_their_lines_found(spark):
+    scan = np.full((60, 80), 255, np.uint8)
+    scan[[5, 30, 55]] = 0
+    scan[:, [5, 40, 75]] = 0
+    data = pdf.write([{"images": [(100, 100, 400, 300, 80, 60, scan.tobytes())]}])
+    source = P.read_pdf(P.from_bytes(spark, {"a.pdf": data}))
+    image = source.primitives.first()["images"][0]
+    assert (image.x0, image.y0, image.x1, image.y1, image.w, image.h) == (100, 100, 500, 400, 80, 60)
+    from gridspark.kernels import raster
+
+    row = E.see(source, offline(), True).first()
+    page = raster.unpng(bytes(row["image"]))
+    assert (page[100:400:5, 100:500:5] == scan).all() and (page[:99] == 255).all() and not row["undrawn"]
+    got = E.extract(P.from_bytes(spark, {"a.pdf": data}), offline())
+    assert got.tables.first()["n_rows"] == 2 and got.tables.first()["n_cols"] == 2
+
+
+def test_pages_that_cannot_be_drawn_are_not_shown_to_the_model(spark, tmp_path):
+    pages = [{"images": [(0, 0, 10, 10, 4, 4, b"\xff\xd8 not read", b"DCTDecode")]}, {"texts": [(10, 10, "fine")]}]
+    client = Recorded({("m", -1): ANSWER})
+    got = E.extract(P.from_bytes(spark, {"a.pdf": pdf.write(pages)}), PipelineConfig(llm_model="m", dpi=36), client, str(tmp_path / "attempts"), work_path=str(tmp_path / "work"))
+    assert [r["page_index"] for r in got.tables.collect()] == [1]
+    stats = got.stats().first()
+    assert stats["calls_primary"] == 1 and stats["pages_skipped"] == 1
+    assert stats["errors"] == ["page cannot be drawn: Image I0: stream filter DCTDecode is not supported"]
+
+
+def test_files_are_parsed_and_drawn_once(spark, tmp_path):
+    lines = [(50, y, 350, y) for y in (100, 130, 160)] + [(x, 100, x, 160) for x in (50, 150, 350)]
+    files = P.from_bytes(spark, {"a.pdf": pdf.write([{"lines": lines, "texts": [(60, 120, "one")]}])})
+    plain, once = E.extract(files, offline()), E.extract(files, offline(), work_path=str(tmp_path / "work"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("cells", "tables", "pages"):
+        assert "MapInArrow" in plan(getattr(plain, name)) and "MapInArrow" not in plan(getattr(once, name))
+        assert sorted(map(str, getattr(plain, name).collect())) == sorted(map(str, getattr(once, name).collect()))
+
+
+def test_unsure_cells_are_shown_to_the_model(spark, tmp_path):
+    lines = [(50, y, 350, y) for y in (100, 130, 160)] + [(x, 100, x, 160) for x in (50, 150, 350)]
+    source = P.read_pdf(P.from_bytes(spark, {"a.pdf": pdf.write([{"lines": lines, "texts": [(60, 120, "one")]}])}))
+    cfg = offline(ocr_confidence_threshold=0.95)
+    object.__setattr__(cfg, "llm_fallback_enabled", True)
+    got = E.heuristic(source, cfg, client=Recorded({("gemini-2.5-pro", -1): "read"}), path=str(tmp_path / "work"))
+    values = {(r["row_index"], r["col_index"]): r["value"] for r in got.cells.collect()}
+    assert values == {(0, 0): "one", (0, 1): "read", (1, 0): "read", (1, 1): "read"}
+    assert got.stats().first()["llm_fallback_count"] == 3
+
+
 def test_votes_over_attempts(spark, tmp_path):
     client = Recorded({("m", 0): f"```json\n{ANSWER}\n```", ("m", 1): OTHER, ("m", 2): ANSWER})
     cfg = PipelineConfig(llm_model="m", llm_consistency_attempts=3, dpi=36)

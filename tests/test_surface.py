@@ -147,7 +147,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run(spark, args) == 0
     said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     text = (tmp_path / "out" / said["run_id"] / "tables/table_0.csv").read_text()
-    assert text.splitlines()[1].startswith("one") and (tmp_path / "o.xlsx").exists() and "one" in (tmp_path / "debug/report.html").read_text()
+    assert text.splitlines()[1].startswith("one") and "one" in (tmp_path / "debug/report.html").read_text()
+
+
+    assert next((tmp_path / "debug/overlays").glob("*.png")).read_bytes().startswith(b"\x89PNG")
+    with zipfile.ZipFile(tmp_path / "o.xlsx") as z:  # "one" is of confidence 1, the colour of the band
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert 's="2" t="inlineStr"><is><t xml:space="preserve">one</t>' in sheet and xlsx.LEGEND[0][1] in sheet
+
+
+def test_registry_survives_a_missing_library(tmp_path):
+    """Without a library that only the training-data operators need, all other queries are still there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; n = e.queries(); print('vote_cells' in n, 'op1_simhash' in n, 'pipeline' in n)"
+    done = subprocess.run([sys.executable, "-W", "always", "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "False", "False"], done.stderr
+    assert "training-data operators cannot be used" in done.stderr or "gridspark/llm" not in done.stderr
 
 
 def test_registry_names_agree():
