@@ -61,6 +61,8 @@ def words_of(text: str) -> list[str]:
 
 def _bare(word: str) -> str:
     """``word`` without the marks around it; every character is looked at once or twice."""
+    if word.isalnum():
+        return word
     first = _IN_WORD.search(word)
     return word[first.start() : len(word) - _IN_WORD.search(word[::-1]).start()] if first else ""
 
