@@ -36,13 +36,13 @@ TASK_BYTES = 64 << 20
 MAX_TASKS = 50_000
 
 
-def tasks(df: DataFrame) -> int:
-    """Tasks for a shuffle of all of ``df``: as the session asks for, more if the tables that it reads are large."""
+def tasks(df: DataFrame, times: int = 1) -> int:
+    """Tasks for a shuffle of all of ``df``, or of ``times`` as much: as the session asks for, more if the tables that it reads are large."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     size = sum(x for x in sizes if x < 1 << 60)  # beyond it nothing is known of a table
     asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, asked, min(MAX_TASKS, size // TASK_BYTES))
+    return max(1, asked, min(MAX_TASKS, size * times // TASK_BYTES))
 
 
 def drop(df: DataFrame) -> None:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -20,9 +19,12 @@ WORDS = 4
 MAX_BITS = 4
 #: A larger cell is cut into blocks of so many fingerprints, and each pair of blocks becomes a task of its own.
 CELL_BLOCK = 1 << 16
-#: Expected chance partners of a fingerprint over all its cells; beyond it the grid gets finer.
-MAX_CHANCE = 256
+#: A cell beyond it is dense: what SCANS scans leave of it is dealt out by bits before pairs are compared.
+DENSE = 1 << 10
+SCANS = 64
 PAIRS_UP_TO = 16
+#: Grid points that a fingerprint is sent to, on average.
+POINTS = 38
 
 
 def fingerprint(data: bytes) -> int:
@@ -62,35 +64,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "t").mapInArrow(_fingerprints, "doc_id long, t long, fp long")
 
 
-def blocks_for(n: int) -> int:
-    """Blocks of the grid for ``n`` distinct fingerprints.
+def cells(fps: DataFrame) -> DataFrame:
+    """``(cell, fp)``: the points of the grid of popcounts where each fingerprint meets those within range.
 
-    With ``b`` blocks of the 32 segments, two fingerprints of Hamming distance 4 or less agree in the counts of
-    ``b - 4`` blocks at least, so cells keyed by every choice of ``b - 4`` blocks miss no pair. Two random 2-bit
-    segments agree with probability 3/8; ``b`` grows until chance partners are few. Exact for any ``b``.
+    The embedding is the 32 counts of the two-bit segments, packed in a long. Of a Manhattan distance of 4 or less, the
+    lower 16 counts hold 2 at most or the upper 16 hold 1 at most. Below, a fingerprint goes to its point and all next to
+    it, so that two within 2 share one between them. Above, only those of an even sum go to the points next to theirs, as
+    neighbours never have equal parities. Some 25 and 13 points, however many fingerprints there are.
     """
-    for b in range(7, 16):
-        if math.comb(b, MAX_BITS) * n * 0.375 ** (32 * (b - MAX_BITS) / b) <= MAX_CHANCE:
-            return b
-    return 16
-
-
-def _masks(blocks: int) -> list[int]:
-    edge = [round(32 * i / blocks) * 2 for i in range(blocks + 1)]
-    part = [(1 << edge[i + 1]) - (1 << edge[i]) for i in range(blocks)]
-    masks = [sum(c) for c in itertools.combinations(part, blocks - MAX_BITS)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def cells(fps: DataFrame, blocks: int) -> DataFrame:
-    """``(cell, fp)``: the 32 two-bit popcounts of each fingerprint, packed in a long, cut to each choice of blocks."""
     odd = F.lit(0x5555555555555555)
     half = F.shiftrightunsigned("fp", 1)
     ones = F.col("fp").bitwiseXOR(half).bitwiseAND(odd)
     twos = F.shiftleft(F.col("fp").bitwiseAND(half).bitwiseAND(odd), 1)
     rows = fps.select("fp", ones.bitwiseOR(twos).alias("e"))
-    keys = [F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(blocks))]
-    return rows.select(F.explode(F.array(*keys)).alias("cell"), "fp")
+    rows = rows.select("fp", F.col("e").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lower"), F.shiftrightunsigned("e", 32).alias("upper"))
+
+    def around(point: Column, also: Column | None = None) -> list[Column]:
+        out = []
+        for i in range(0, 32, 2):
+            count, step = F.shiftright(point, i).bitwiseAND(F.lit(3)), F.lit(1 << i)
+            for fits, to in ((count < 2, point + step), (count > 0, point - step)):
+                out.append(F.when(fits if also is None else fits & also, to))
+        return out
+
+    lower, upper = F.col("lower"), F.col("upper") + F.lit(1 << 32)
+    even = F.bit_count(F.col("upper").bitwiseAND(odd)) % 2 == 0
+    return rows.select(F.explode(F.array_compact(F.array(lower, *around(lower), upper, *around(upper, even)))).alias("cell"), "fp")
 
 
 def _embed(v: np.ndarray) -> np.ndarray:
@@ -109,12 +108,11 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _spanning(v: np.ndarray, other: np.ndarray | None = None) -> tuple[list, list]:
-    """Links that connect all of ``v`` (and ``other``) that are connected by near pairs: no more than there are points."""
-    if other is not None:
-        v = np.concatenate([v, other])
+def _scan(v: np.ndarray, scans: int | None = None) -> tuple[list, list, np.ndarray]:
+    """Links along which near pairs connect ``v``, no more than there are points, and the points not compared after ``scans``."""
     a, b, left, todo = [], [], np.unique(v), []
-    while len(left):
+    while len(left) and scans != 0:
+        scans = None if scans is None else scans - 1
         if not todo:
             todo, left = [left[0]], left[1:]
         x = todo.pop()
@@ -125,14 +123,60 @@ def _spanning(v: np.ndarray, other: np.ndarray | None = None) -> tuple[list, lis
             b.append(found)
             todo.extend(found)
             left = left[~hit]
+    return a, b, np.concatenate([np.array(todo, np.uint64), left]) if len(left) else left
+
+
+def _spanning(v: np.ndarray) -> tuple[list, list]:
+    """Links that connect all of ``v`` that are connected by near pairs: no more than there are points."""
+    return _scan(v)[:2]
+
+
+def _pairs(key: np.ndarray, v: np.ndarray) -> tuple[list, list]:
+    """Links between points of equal key, rows in the order of the key: all near pairs of up to PAIRS_UP_TO, spanning links of more."""
+    if not len(key):
+        return [], []
+    at = _runs(key)
+    size = np.diff(at)
+    of = np.repeat(size, size)
+    small = (of >= 2) & (of <= PAIRS_UP_TO)
+    c, w = key[small], v[small]
+    a, b = [], []
+    for d in range(1, PAIRS_UP_TO):
+        if len(c) <= d:
+            break
+        i = np.flatnonzero(c[d:] == c[:-d])
+        if not len(i):
+            break
+        ok = i[near(w[i], w[i + d])]
+        a.append(w[ok])
+        b.append(w[ok + d])
+    for k in np.flatnonzero(size > PAIRS_UP_TO):
+        x, y = _spanning(v[at[k] : at[k + 1]])
+        a += x
+        b += y
     return a, b
 
 
+def _linked(v: np.ndarray, dense: int) -> Iterator[tuple[list, list]]:
+    """Links that connect all of a cell that near pairs connect.
+
+    Scans take large groups of near copies apart quickly, but are quadratic in unlike points. What they leave of a dense cell
+    is dealt out by 4 of 8 bytes, in all 70 ways: of 8, four at least are equal where 4 bits differ.
+    """
+    a, b, rest = _scan(v, None if len(v) <= dense else SCANS)
+    yield a, b
+    if len(rest):
+        for some in itertools.combinations(range(8), 8 - MAX_BITS):
+            key = rest & np.uint64(sum(255 << 8 * i for i in some))
+            order = np.argsort(key)
+            yield _pairs(key[order], rest[order])
+
+
 def _runs(cell: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
 
 
-def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell_links(batches: Iterator[pa.RecordBatch], dense: int = DENSE) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell -> links (kind 0: a, b), or for a cell beyond CELL_BLOCK its rows by block (kind 1: cell, fp, block)."""
     names = ["kind", "a", "b", "block"]
 
@@ -145,27 +189,13 @@ def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole cells of CELL_BLOCK rows or fewer each."""
         if not len(cell):
             return
-        at = _runs(cell)
-        size = np.diff(at)
+        size = np.diff(_runs(cell))
         of = np.repeat(size, size)
-        small = (of >= 2) & (of <= PAIRS_UP_TO)
-        c, v = cell[small], fp[small]
-        a, b = [], []
-        for d in range(1, PAIRS_UP_TO):
-            if len(c) <= d:
-                break
-            i = np.flatnonzero(c[d:] == c[:-d])
-            if not len(i):
-                break
-            ok = i[near(v[i], v[i + d])]
-            a.append(v[ok])
-            b.append(v[ok + d])
-        for k in np.flatnonzero(size > PAIRS_UP_TO):
-            x, y = _spanning(fp[at[k] : at[k + 1]])
-            a += x
-            b += y
-        if a and (a := np.concatenate(a)).size:
-            yield out(0, a, np.concatenate(b))
+        small = of <= PAIRS_UP_TO
+        found = itertools.chain([_pairs(cell[small], fp[small])], *(_linked(x, dense) for x in np.split(fp[~small], np.cumsum(size[size > PAIRS_UP_TO])[:-1])))
+        for a, b in found:
+            if a and (a := np.concatenate(a)).size:
+                yield out(0, a, np.concatenate(b))
 
     c0, v0, big, sent = np.empty(0, np.int64), np.empty(0, np.uint64), None, 0
     for batch in batches:
@@ -205,28 +235,35 @@ def _split(cell: np.ndarray, fp: np.ndarray, solve, out) -> Iterator[pa.RecordBa
     yield from solve(cell[keep], fp[keep])
 
 
-def _block_links(key, rows: pa.Table) -> pa.Table:
-    a, b = _spanning(rows.column("fp").to_numpy().view(np.uint64))
-    a, b = (np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b))
-    return pa.table({"a": a, "b": b})
-
-
-def links(fps: DataFrame, blocks: int) -> DataFrame:
+def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints that connect all that differ in 4 bits or fewer.
 
-    Every link is a true near pair. Cells of up to 16 give all their near pairs, larger ones a spanning forest;
-    a cell beyond CELL_BLOCK is cut into blocks, and every pair of its blocks is solved on its own.
+    Fingerprints that meet in a cell of the grid are within range in half of the counts; the distance of all counts, then
+    that of the bits decide. Every link is a true near pair. Cells of up to 16 give all their near pairs, larger ones
+    spanning links, those beyond ``dense`` by parts; a cell beyond CELL_BLOCK is cut into blocks, and every pair of its
+    blocks is solved on its own.
     """
-    dealt = cells(fps, blocks)
-    dealt = dealt.repartition(scratch.tasks(fps) * (1 if blocks < 12 else 8), "cell").sortWithinPartitions("cell")
-    found = scratch.table(dealt.mapInArrow(_cell_links, "kind int, a long, b long, block int"), "links")
+
+    def of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cell_links(batches, dense)
+
+    def of_blocks(key, rows: pa.Table) -> pa.Table:
+        found = np.empty((0, 2), np.int64)
+        for a, b in _linked(rows.column("fp").to_numpy().view(np.uint64), dense):
+            if a:
+                found = np.unique(np.concatenate([found, np.stack([np.concatenate(a), np.concatenate(b)], 1).view(np.int64)]), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    dealt = cells(fps)
+    dealt = dealt.repartition(scratch.tasks(fps, POINTS), "cell").sortWithinPartitions("cell")
+    found = scratch.table(dealt.mapInArrow(of_cells, "kind int, a long, b long, block int"), "links")
     out = found.filter("kind = 0").select("a", "b").distinct()
     big = found.filter("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("fp"), "block")
     if not big.isEmpty():
         n = big.groupBy("cell").agg((F.max("block") + 1).alias("n"))
         each = big.join(n, "cell").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         each = each.select("cell", "fp", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"))
-        out = out.union(each.groupBy("cell", "i", "j").applyInArrow(_block_links, "a long, b long")).distinct()
+        out = out.union(each.groupBy("cell", "i", "j").applyInArrow(of_blocks, "a long, b long")).distinct()
     return out
 
 
@@ -240,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = scratch.table(fingerprints(docs), "fingerprints")
     fps = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    of = components(links(fps.select("fp"), blocks_for(fps.count())))
+    of = components(links(fps.select("fp")))
     linked = fps.join(of, fps.fp == of.node).select("fp", "least", "root")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = scratch.table(linked.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "by_fp")

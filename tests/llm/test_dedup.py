@@ -111,6 +111,30 @@ def test_no_link_is_missed_whatever_the_grid(spark, blocks):
     assert _groups(pairs, nodes) == _groups(true, nodes)
 
 
+def test_near_prints_share_a_point_of_the_grid(spark):
+    r = np.random.default_rng(8)
+    a = r.integers(0, 1 << 64, 300, np.uint64)
+    b = a.copy()
+    for i in range(4):  # 1 to 4 bits, also two in one segment and all in one half
+        at = r.integers(0, 64, 300) if i % 2 else r.integers(0, 32, 300) + 32 * r.integers(0, 2)
+        b[i * 60 :] ^= np.uint64(1) << at[i * 60 :].astype(np.uint64)
+    signed = [(int(x),) for x in np.unique(np.concatenate([a, b])).view(np.int64)]
+    points = {}
+    for x in simhash.cells(spark.createDataFrame(signed, "fp long")).collect():
+        points.setdefault(x.fp % (1 << 64), set()).add(x.cell)
+    assert all(points[int(x)] & points[int(y)] for x, y in zip(a, b, strict=True))
+    assert max(map(len, points.values())) <= 66
+    assert abs(sum(map(len, points.values())) / len(points) - simhash.POINTS) < 3
+
+
+def test_dense_cells_lose_no_link():
+    v = random_prints(3000, 11)
+    pairs = [(int(x), int(y)) for a, b in simhash._linked(v, 100) for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True)]
+    true = [(int(a), int(b)) for i, a in enumerate(v) for b in v[i + 1 :][np.bitwise_count(v[i + 1 :] ^ a) <= 4]]
+    assert set(map(frozenset, pairs)) <= set(map(frozenset, true))
+    assert _groups(pairs, [int(x) for x in v]) == _groups(true, [int(x) for x in v])
+
+
 def test_large_cells_go_by_blocks(spark, monkeypatch):
     r = np.random.default_rng(3)
     v = np.unique(np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)))
