@@ -1,4 +1,4 @@
-"""``python -m gridspark.cli extract FILES``: tables of PDF files as CSV, workbook, and reports."""
+"""The command line: ``extract`` tables of PDF files, run a ``benchmark``, check ``gates``, compare two ``manifests``."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from gridspark import config as C
 from gridspark import log, manifest
-from gridspark.clients.llm import provider
-from gridspark.operators import order
+from gridspark.clients.llm import Client, provider
+from gridspark.operators import order, runstats
+from gridspark.plans import benchmark
 from gridspark.plans import extract as E
 from gridspark.schemas import PAGE_KEY, TABLE_KEY
 from gridspark.sinks import files, report, xlsx
@@ -23,13 +24,31 @@ SHOWN = 5
 
 
 def parser() -> argparse.ArgumentParser:
-    """One flag per setting, named like it."""
     p = argparse.ArgumentParser(prog="gridspark")
     sub = p.add_subparsers(dest="command", required=True)
     e = sub.add_parser("extract", help="extract tables")
     e.add_argument("input", help="a file, folder or pattern on any file system that Spark reads")
     e.add_argument("--output", default="out")
     e.add_argument("--excel", help="also write a workbook here")
+    _settings(e)
+    b = sub.add_parser("benchmark", help="extract annotated files and report how well")
+    b.add_argument("dataset", help="a folder with annotations and pdfs")
+    b.add_argument("--output", default="benchmark_results", help="a folder of this machine")
+    b.add_argument("--subset", help="smoke: the first five; full; or a part of the names")
+    b.add_argument("--baseline", help="an earlier report.json")
+    b.add_argument("--thresholds", help="a YAML or JSON file")
+    _settings(b)
+    g = sub.add_parser("gates", help="check a report against thresholds")
+    g.add_argument("--results", required=True)
+    g.add_argument("--thresholds", required=True)
+    m = sub.add_parser("manifests", help="show what differs between two runs")
+    m.add_argument("first")
+    m.add_argument("second")
+    return p
+
+
+def _settings(e: argparse.ArgumentParser) -> None:
+    """One flag per setting, named like it."""
     e.add_argument("--config", help="a YAML or JSON file of settings")
     for f in fields(C.PipelineConfig):
         kind = str(f.type).split(" |")[0]
@@ -42,7 +61,17 @@ def parser() -> argparse.ArgumentParser:
             e.add_argument(flag, action=argparse.BooleanOptionalAction, default=None)
         else:
             e.add_argument(flag, type={"int": int, "float": float}.get(kind, str), default=None, help=None if f.default is MISSING else f"default {f.default}")
-    return p
+
+
+def _client(cfg: C.PipelineConfig) -> Client | None:
+    """The model's provider where pages are shown to it, or single cells and there is a key to ask with."""
+    if cfg.extraction_strategy == "heuristic" and not (cfg.llm_fallback_enabled and cfg.llm_api_key):
+        return None
+    return provider(cfg.llm_provider, cfg.llm_model or "", cfg.llm_api_key or "")
+
+
+def _given(args: argparse.Namespace) -> dict:
+    return {f.name: getattr(args, f.name, None) for f in fields(C.PipelineConfig) if f.name != "input_path"}
 
 
 def _summary(stats: dict, odd: list, errors: list[str]) -> str:
@@ -52,15 +81,44 @@ def _summary(stats: dict, odd: list, errors: list[str]) -> str:
     return "\n".join(lines)
 
 
+def _benchmark(spark: SparkSession, args: argparse.Namespace) -> int:
+    cfg = C.load(args.config, _given(args))
+    work = f"{args.output.rstrip('/')}/{manifest.run_id()}"
+    extract = lambda found: E.extract(found, cfg, _client(cfg), f"{work}/attempts", work_path=f"{work}/work")
+    baseline, limits = (benchmark.settings(x) if x else None for x in (args.baseline, args.thresholds))
+    got = benchmark.run(spark, args.dataset, extract, args.output, args.subset, baseline, limits)
+    print("\n".join([*(f"{k}: {v:.4f}" for k, v in got.metrics.items()), "interval: {:.4f} to {:.4f}".format(*got.interval)]))
+    print("\n".join([*(f"no file: {x}" for x in got.lonely[:SHOWN]), *(f"failed: {x}" for x in got.failures)]))
+    return int(bool(got.failures))
+
+
+def _gates(spark: SparkSession, args: argparse.Namespace) -> int:
+    limits = benchmark.settings(args.thresholds)
+    numbers = {k: float(v) for k, v in benchmark.settings(args.results).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+    found = spark.createDataFrame([tuple(numbers.values())], ", ".join(f"`{k}` double" for k in numbers))
+    failures = benchmark.missed(found, limits.get("thresholds", {}))
+    print("\n".join(f"failed: {x}" for x in failures) or "all gates passed")
+    return int(bool(failures))
+
+
+def _manifests(spark: SparkSession, args: argparse.Namespace) -> int:
+    first, second = (manifest.read(spark, x) for x in (args.first, args.second))
+    rows = runstats.manifest_diff(first, second).orderBy("kind", "name").collect()
+    print("\n".join(f"{r['kind']} {r['name']}: {r['first']} -> {r['second']}" for r in rows) or "no difference")
+    return int(bool(rows))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
-    given = {f.name: getattr(args, f.name, None) for f in fields(C.PipelineConfig) if f.name != "input_path"}
-    cfg = C.load(args.config, given)
+    return {"extract": _extract, "benchmark": _benchmark, "gates": _gates, "manifests": _manifests}[args.command](spark, args)
+
+
+def _extract(spark: SparkSession, args: argparse.Namespace) -> int:
+    cfg = C.load(args.config, _given(args))
     logger = log.configure(cfg.log_level, cfg.log_file, cfg.log_format)
     id_ = manifest.run_id()
     where = f"{args.output.rstrip('/')}/{id_}"
     found = spark.read.format("binaryFile").load(args.input).select("path", "content")
-    client = provider(cfg.llm_provider, cfg.llm_model or "", cfg.llm_api_key or "") if cfg.extraction_strategy != "heuristic" else None
-    got = E.extract(found, cfg, client, f"{where}/attempts", work_path=f"{where}/work")
+    got = E.extract(found, cfg, _client(cfg), f"{where}/attempts", work_path=f"{where}/work")
     tables = order.number(got.rows(), *TABLE_KEY, name="table_no").withColumn("table_no", F.col("table_no").cast("int"))
     stats = got.stats().first().asDict(recursive=True)
     logger.info("extracted", extra={"run_id": id_, "tables": stats["tables_extracted"]})

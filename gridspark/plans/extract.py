@@ -227,10 +227,10 @@ def from_attempts(source: PdfFrames, attempts: DataFrame, config: PipelineConfig
     """
     tables, columns, cells = vote.consensus(attempts, PAGE_KEY, config.llm_consistency_threshold)
     n = tables.groupBy(*PAGE_KEY).agg(F.count(F.lit(1)).alias("n"))
+    place = tables.join(n, PAGE_KEY).join(source.pages, PAGE_KEY)
+    place = place.select(*TABLE_KEY, "n_rows", "n_cols", G.band(F.col("width"), F.col("height"), F.col("table_idx"), F.col("n")).alias("bbox"))
+    boxes = grid.even_grid(place, TABLE_KEY)
     if config.enable_position_verification:
-        place = tables.join(n, PAGE_KEY).join(source.pages, PAGE_KEY)
-        place = place.select(*TABLE_KEY, "n_rows", "n_cols", G.band(F.col("width"), F.col("height"), F.col("table_idx"), F.col("n")).alias("bbox"))
-        boxes = grid.even_grid(place, TABLE_KEY)
         t = source.tokens.select(*PAGE_KEY, "token_idx", F.col("text").alias("token"), F.col("bbox").alias("tbox"), F.col("confidence").alias("token_confidence"))
         at = ["table_idx", "row_index", "col_index"]
         pairs = verify.match_tokens(boxes, t, PAGE_KEY, at)
@@ -255,8 +255,12 @@ def from_attempts(source: PdfFrames, attempts: DataFrame, config: PipelineConfig
     failed = attempts.groupBy(*PAGE_KEY).agg(F.count_if(F.col("error").isNull()).alias("good"), F.max_by("error", "attempt").alias("error")).filter("good = 0")
     errors = source.errors.unionByName(failed.select(*PAGE_KEY, "error"))
     names = columns.groupBy(*TABLE_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "name"))), lambda x: x["name"]).alias("columns"))
-    tables = tables.join(names, TABLE_KEY, "left")
-    return Extraction(cells, tables, _page_results(source.pages, tables, errors, {"calls": calls}), errors)
+    dpi = config.dpi or 200
+    pixels = G.points_to_pixels(F.col("bbox"), F.lit(float(dpi))).alias("bbox")
+    tables = tables.join(names, TABLE_KEY, "left").join(place.select(*TABLE_KEY, pixels, F.lit(None).cast("string").alias("section_label")), TABLE_KEY, "left")
+    layout = boxes.select(*TABLE_KEY, "row_index", "col_index", pixels, F.lit(False).alias("is_filler"), F.lit(None).cast("string").alias("structure_source"))
+    sizes = source.pages.select(*PAGE_KEY, *[F.greatest(F.lit(1), F.round(F.col(side) * dpi / 72).cast("int")).alias(to) for side, to in (("width", "img_w"), ("height", "img_h"))])
+    return Extraction(cells, tables, _page_results(source.pages, tables, errors, {"calls": calls}), errors, layout, sizes)
 
 
 def extract(files: DataFrame, config: PipelineConfig, client: Client | None = None, attempts_path: str | None = None, strategy: Strategy | None = None, work_path: str | None = None) -> Extraction:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +42,16 @@ class InputSource:
 
 
 def result_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """``(table_no, path, line)`` of the ``table_<n>.csv`` files of a run, in the order of their numbers."""
-    rows = spark.read.option("pathGlobFilter", "table_*.csv").text(folder)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"table_(\d+)\.csv$", 1).cast("int")
-    return rows.select(number.alias("table_no"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).orderBy("table_no")
+    """``(table_no, path, columns, rows)`` of the ``table_<n>.csv`` files of a run: the first record and the others, of any width; an empty file holds none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "table_*.csv").load(folder)
+    number = F.regexp_extract("path", r"table_(\d+)\.csv$", 1)
+    files = files.select(F.when(number != "", number.cast("int")).alias("table_no"), "path", F.decode("content", "UTF-8").alias("value"))
+    return files.filter("table_no is not null").mapInArrow(_parsed, "table_no int, path string, columns array<string>, rows array<array<string>>")
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    strings = pa.list_(pa.string())
+    for b in batches:
+        tables = [list(csv.reader(io.StringIO(text, newline=""))) or [[]] for text in b.column("value").to_pylist()]
+        cols = pa.array([t[0] for t in tables], strings), pa.array([t[1:] for t in tables], pa.list_(strings))
+        yield pa.RecordBatch.from_arrays([b.column("table_no"), b.column("path"), *cols], ["table_no", "path", "columns", "rows"])

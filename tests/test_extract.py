@@ -172,6 +172,9 @@ def test_votes_over_attempts(spark, tmp_path):
     assert table["columns"] == ["a", "b"] and table["table_id"] == "t"
     stats = got.stats().first()
     assert (stats["calls_primary"], stats["calls_escalation"], stats["tables_extracted"]) == (3, 0, 1)
+    page = got.sizes.first()
+    last = got.layout.filter("row_index = 1 and col_index = 1").first()["bbox"]
+    assert got.layout.count() == 4 and (last["x1"], last["y1"]) == pytest.approx((page["img_w"], page["img_h"]), abs=1)
 
 
 def test_escalation_only_after_failure(spark, tmp_path):

@@ -20,7 +20,8 @@ from gridspark.functions import geometry as G
 from gridspark.kernels import pdf
 from gridspark.plans import evaluate as V
 from gridspark.sinks import files, report, xlsx
-from gridspark.sources import annotations
+from gridspark.sources import annotations, inputs
+from gridspark.sources import pdf as P
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -156,6 +157,59 @@ def test_command_line(spark, tmp_path, capsys):
     assert 's="2" t="inlineStr"><is><t xml:space="preserve">one</t>' in sheet and xlsx.LEGEND[0][1] in sheet
 
 
+def test_benchmark_command(spark, tmp_path, capsys):
+    lines = [(50, y, 350, y) for y in (100, 130, 160)] + [(x, 100, x, 160) for x in (50, 200, 350)]
+    texts = [["one", "two"], ["three", "four"]]
+    words = [(60 + 150 * c, 120 + 30 * r, texts[r][c]) for r in range(2) for c in range(2)]
+    for name in ("annotations", "pdfs"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "pdfs/a.pdf").write_bytes(pdf.write([{"lines": lines, "texts": words}]))
+    rows = P.read_pdf(P.from_bytes(spark, {"a.pdf": (tmp_path / "pdfs/a.pdf").read_bytes()})).pages.first()
+    box = lambda x0, y0, x1, y1: {"x0": x0 / rows["width"], "y0": y0 / rows["height"], "x1": x1 / rows["width"], "y1": y1 / rows["height"]}
+    cells = [{"row": r, "col": c, "text": texts[r][c], "bbox": box(50 + 150 * c, 100 + 30 * r, 200 + 150 * c, 130 + 30 * r)} for r in range(2) for c in range(2)]
+    table = {"table_id": "table_0", "bbox": box(50, 100, 350, 160), "n_rows": 2, "n_cols": 2, "cells": cells}
+    for name in ("a", "b"):
+        (tmp_path / f"annotations/{name}.json").write_text(json.dumps({"pdf_file": f"{name}.pdf", "page_index": 0, "metadata": {}, "tables": [table]}))
+    (tmp_path / "base.json").write_text(json.dumps({"overall_f1": 0.9}))
+    (tmp_path / "limits.yaml").write_text("thresholds:\n  avg_cer: {target: 0.0, tolerance: 0.01, inverted: true}\n  text_f1: {target: 1.0, tolerance: 0.0}\n  strange: {target: 1, tolerance: 0}\n")
+    base = ["benchmark", str(tmp_path), "--output", str(tmp_path / "out"), "--extraction-preset", "offline", "--dpi", "72", "--baseline", str(tmp_path / "base.json"), "--thresholds", str(tmp_path / "limits.yaml")]
+    assert cli.run(spark, cli.parser().parse_args(base)) == 0
+    said = capsys.readouterr().out
+    got = json.loads((tmp_path / "out/report.json").read_text())
+    assert "no file: b" in said and got["tables_detected"] == got["tables_ground_truth"] == 1
+    assert got["exact_match_rate"] == 1.0 and got["avg_cer"] == 0.0 and got["avg_cell_iou"] > 0.9
+    gates = ["gates", "--results", str(tmp_path / "out/report.json"), "--thresholds"]
+    assert cli.run(spark, cli.parser().parse_args([*gates, str(tmp_path / "limits.yaml")])) == 0
+    (tmp_path / "hard.json").write_text(json.dumps({"thresholds": {"avg_cell_iou": {"target": 2.0, "tolerance": 0.5}}}))
+    assert cli.run(spark, cli.parser().parse_args([*gates, str(tmp_path / "hard.json")])) == 1
+    assert "failed: avg_cell_iou" in capsys.readouterr().out
+
+
+def test_manifests_command(spark, tmp_path, capsys):
+    for name, digest in (("a", "1"), ("b", "2")):
+        (tmp_path / name).write_text(json.dumps(manifest.create(config.PipelineConfig()) | {"config_digest": digest}))
+    say = lambda x, y: cli.run(spark, cli.parser().parse_args(["manifests", str(tmp_path / x), str(tmp_path / y)]))
+    assert say("a", "a") == 0 and say("a", "b") == 1
+    assert "config_digest : 1 -> 2" in capsys.readouterr().out
+
+
+def test_cells_are_shown_to_the_model_where_there_is_a_key():
+    cfg = config.PipelineConfig(extraction_preset="offline")
+    assert cli._client(cfg) is None and cli._client(config.PipelineConfig()) is not None
+    object.__setattr__(cfg, "llm_fallback_enabled", True)
+    assert cli._client(cfg) is None
+    object.__setattr__(cfg, "llm_api_key", "k")
+    assert cli._client(cfg) is not None
+
+
+def test_results_are_read_back(spark, tmp_path):
+    for no, text in ((0, 'a,b\n1,"x\ny"\n'), (11, "c\n"), (2, "\n"), (3, "")):  # an empty file holds no table
+        (tmp_path / f"table_{no}.csv").write_text(text)
+    (tmp_path / "table_x.csv").write_text("z\n")
+    got = {r["table_no"]: (r["columns"], r["rows"]) for r in inputs.result_tables(spark, str(tmp_path)).collect()}
+    assert got == {0: (["a", "b"], [["1", "x\ny"]]), 11: (["c"], []), 2: ([], [])}
+
+
 def test_registry_survives_a_missing_library(tmp_path):
     """Without a library that only the training-data operators need, all other queries are still there."""
     import subprocess
