@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
 from gridspark.functions import text as T
+from gridspark.operators.meet import overlapping
 
 MIN_IOU = 0.1
 FUZZY = 0.8
@@ -17,18 +18,9 @@ def match_tokens(cells: DataFrame, tokens: DataFrame, page: list[str], cell_keys
     """Pairs of cells and tokens of a page whose boxes meet with an IoU above MIN_IOU.
 
     ``cells(page, cell_keys, bbox)``, ``tokens(page, token_idx, token, tbox, token_confidence)``. With ``bucket``, both
-    sides are also dealt out by horizontal bands of that height, so that dense pages split over tasks; a pair is kept in
-    the band where its overlap starts.
+    sides are also dealt out by squares of that side, so that dense pages split over tasks.
     """
-    c, t = cells.select(*page, *cell_keys, "bbox"), tokens
-    on = list(page)
-    if bucket:
-        bands = lambda b: F.sequence(F.floor(b["y0"] / bucket), F.floor(b["y1"] / bucket))
-        c, t = c.withColumn("_band", F.explode(bands(F.col("bbox")))), t.withColumn("_band", F.explode(bands(F.col("tbox"))))
-        on.append("_band")
-    pairs = c.join(t, on).filter(G.overlaps(F.col("bbox"), F.col("tbox")))
-    if bucket:
-        pairs = pairs.filter(F.col("_band") == F.floor(F.greatest("bbox.y0", "tbox.y0") / bucket)).drop("_band")
+    pairs = overlapping(cells.select(*page, *cell_keys, "bbox"), tokens, page, "bbox", "tbox", bucket)
     return pairs.withColumn("iou", G.iou(F.col("tbox"), F.col("bbox"))).filter(F.col("iou") > MIN_IOU)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridspark import queries as Q
 from gridspark.functions import geometry as G
 from gridspark.functions import text as T
-from gridspark.operators import assemble, grid, metrics, pages, runstats, verify, vote
+from gridspark.operators import assemble, grid, meet, metrics, pages, runstats, verify, vote
 
 
 def one(spark, *cols, **values):
@@ -297,6 +297,35 @@ def test_table_verification(spark):
         assert v[1].position_confidence is None
 
 
+def test_boxes_meet_by_squares_as_by_page(spark):
+    rng = random.Random(5)
+    sizes = [0, 0.5, 3, 40, 400, 30_000, -6]
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            x, y, w, h = rng.uniform(-300, 300), rng.uniform(-300, 300), rng.choice(sizes), rng.choice(sizes)
+            rows.append((i % 2, i, (x, y, x + w, y + h)))
+        return [*rows, (0, n, (8.0, 8.0, 16.0, 16.0)), (0, n + 1, (16.0, 8.0, 24.0, 16.0)), (0, n + 2, (float("nan"), 0.0, float("inf"), 9.0)), (1, n + 3, None), (None, n + 4, (0.0, 0.0, 9.0, 9.0))]
+
+    at = "struct<x0:double,y0:double,x1:double,y1:double>"
+    a, b = spark.createDataFrame(some(150), f"page int, i int, p {at}"), spark.createDataFrame(some(200), f"page int, j int, q {at}")
+    want, *got = (sorted(map(tuple, meet.overlapping(a, b, ["page"], "p", "q", side).select("page", "i", "j").collect())) for side in (None, 8.0, 64.0))
+    assert got == [want, want] and len(want) == len(set(want)) > 1000
+
+
+def test_dense_pages_compare_only_boxes_that_lie_near(spark):
+    place = spark.range(4000).select(F.lit(0).alias("page"), "id", (F.col("id") % 80 * 100.0).alias("x"), (F.floor(F.col("id") / 80) * 100.0).alias("y"))
+    c = place.select("page", F.col("id").alias("i"), G.bbox(F.col("x"), F.col("y"), F.col("x") + 9, F.col("y") + 9).alias("p"))
+    t = place.select("page", F.col("id").alias("j"), G.bbox(F.col("x"), F.col("y"), F.col("x") + 9, F.col("y") + 9).alias("q"))
+    on = ["page", "_kind", "_x", "_y"]
+    near = meet._dealt(c, "p", 64.0, True).join(meet._dealt(t, "q", 64.0, False), on)
+    assert near.count() < 4 * 4000  # of 16,000,000 on the page
+    pairs = meet.overlapping(c, t, ["page"], "p", "q", 64.0)
+    assert pairs.count() == pairs.filter("i = j").count() == 4000
+    assert "Broadcast" not in pairs._jdf.queryExecution().toString()
+
+
 def test_matches_python_sequence_ratio(spark):
     rows = [("abcd", "bcde"), ("private", "provable"), ("x" * 300, "x" * 299 + "y")]
     got = spark.createDataFrame(rows, "a string, b string").select(T.sequence_ratio("a", "b").alias("x")).collect()
