@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import geometry as G
+from gridspark.operators.meet import overlapping
 
 PLACEHOLDER_CONFIDENCE = 0.9
 
@@ -23,12 +24,15 @@ def fill_placeholder(cells: DataFrame) -> DataFrame:
     )
 
 
-def fill_from_tokens(cells: DataFrame, tokens: DataFrame, keys: list[str], min_share: float = 0.5) -> DataFrame:
-    """Text of the page's tokens that lie in a cell by at least ``min_share``, in token order, where the cell has none."""
+def fill_from_tokens(cells: DataFrame, tokens: DataFrame, keys: list[str], min_share: float = 0.5, bucket: float | None = None) -> DataFrame:
+    """Text of the page's tokens that lie in a cell by at least ``min_share``, in token order, where the cell has none.
+
+    With ``bucket``, cells and tokens of a page are dealt out by squares of that side.
+    """
     at = [*keys, "row_index", "col_index"]
     c = cells.filter(F.coalesce("text", F.lit("")) == "").select("doc_id", "page_index", *[k for k in at if k not in ("doc_id", "page_index")], "bbox")
     t = tokens.select("doc_id", "page_index", "token_idx", F.col("text").alias("token"), F.col("bbox").alias("tbox"), "confidence")
-    hit = c.join(t, ["doc_id", "page_index"]).filter(G.overlaps(F.col("bbox"), F.col("tbox")) & (G.containment(F.col("tbox"), F.col("bbox")) >= min_share))
+    hit = overlapping(c, t, ["doc_id", "page_index"], "bbox", "tbox", bucket).filter(G.containment(F.col("tbox"), F.col("bbox")) >= min_share)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]), " ")
     found = hit.groupBy(*at).agg(joined.alias("_text"), F.avg("confidence").alias("_conf"))
     out = cells.join(found, at, "left")

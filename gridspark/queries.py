@@ -420,7 +420,7 @@ def token_fill(t: Tables) -> DataFrame:
     none = {"text": F.lit(None).cast("string"), "text_confidence": F.lit(None).cast("double"), "text_source": F.lit("mock"), "page_index": F.lit(0), "row_index": F.lit(0), "col_index": F.lit(0)}
     cells = D.boxes(t).withColumnRenamed("page", "doc_id").withColumns(none)
     tokens = D.tokens(t).select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), "token_idx", F.col("token").alias("text"), F.col("tbox").alias("bbox"), F.col("token_confidence").alias("confidence"))
-    out = assemble.fill_from_tokens(cells, tokens, ["doc_id", "page_index", "box_idx"])
+    out = assemble.fill_from_tokens(cells, tokens, ["doc_id", "page_index", "box_idx"], bucket=64.0)
     return out.select(F.col("doc_id").alias("page"), "box_idx", "text")
 
 

@@ -326,6 +326,15 @@ def test_dense_pages_compare_only_boxes_that_lie_near(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().toString()
 
 
+def test_tokens_fill_cells_by_squares_as_by_page(spark):
+    t = Q.Tables(spark, "/root/testdata/sf0.001")
+    cells = Q.D.boxes(t).select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), "box_idx", F.lit(0).alias("row_index"), F.lit(0).alias("col_index"), "bbox")
+    cells = cells.withColumns({"text": F.lit(None).cast("string"), "text_confidence": F.lit(None).cast("double"), "text_source": F.lit("")})
+    tokens = Q.D.tokens(t).select(F.col("page").alias("doc_id"), F.lit(0).alias("page_index"), "token_idx", F.col("token").alias("text"), F.col("tbox").alias("bbox"), F.col("token_confidence").alias("confidence"))
+    want, got = (sorted(map(tuple, assemble.fill_from_tokens(cells, tokens, ["doc_id", "page_index", "box_idx"], bucket=side).select("doc_id", "box_idx", "text", "text_confidence").collect())) for side in (None, 64.0))
+    assert got == want and any(r[2] for r in got)
+
+
 def test_matches_python_sequence_ratio(spark):
     rows = [("abcd", "bcde"), ("private", "provable"), ("x" * 300, "x" * 299 + "y")]
     got = spark.createDataFrame(rows, "a string, b string").select(T.sequence_ratio("a", "b").alias("x")).collect()
