@@ -22,10 +22,12 @@ class Tables:
 
 def readings(t: Tables) -> DataFrame:
     """Repeated readings of a cell: the rows that share an order and a line number, in a total order."""
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_ORDER)) - 1
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_ORDER)
+    ord_, last = F.row_number().over(w) - 1, F.lead(F.lit(False), 1, True).over(w)
     return t("lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), ord_.alias("attempt"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
         F.floor("l_quantity").cast("string").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"),
+        last.alias("last"),
     )
 
 
@@ -50,9 +52,12 @@ CANDIDATES = (
 )
 
 
-def grid_cells(t: Tables, attempt: int) -> DataFrame:
-    """An attempt of every cell as a grid cell: three columns a row, a box that moves with the attempt's price."""
-    r = readings(t).filter(F.col("attempt") == attempt).withColumn("row_index", F.col("ln") - 1)
+def grid_cells(t: Tables, attempt: int, followed: bool = False) -> DataFrame:
+    """An attempt of every cell as a grid cell: three columns a row, a box that moves with the attempt's price.
+
+    With ``followed`` only cells of which there is the next attempt too: no other meets one of that attempt in a join.
+    """
+    r = readings(t).filter((F.col("attempt") == attempt) & (~F.col("last") if followed else F.lit(True))).withColumn("row_index", F.col("ln") - 1)
     value = F.posexplode(F.array("flag", "status", "qty")).alias("col_index", "text")
     c = r.select("k", "row_index", "price", "discount", value)
     x0, y0 = F.col("col_index") * 10.0, F.col("row_index") * 5.0

@@ -530,7 +530,7 @@ tables AS (SELECT k, count(*) AS n_cells, avg(iou) AS avg_cell_iou, avg(text_mat
 
 
 def _cell_metrics(t: Tables) -> DataFrame:
-    return metrics.cell_metrics(D.grid_cells(t, 1), D.grid_cells(t, 0), ["k"])
+    return metrics.cell_metrics(D.grid_cells(t, 1), D.grid_cells(t, 0, followed=True), ["k"])
 
 
 def _table_metrics(t: Tables) -> DataFrame:
@@ -588,7 +588,8 @@ f AS (SELECT r, {_h('iou', 'span')} AS sf, {_h('1 - cer', 'exact')} AS tf FROM m
 
 @_query(f"{_BOOT} SELECT round(x[26], 6) AS lower, round(x[976], 6) AS upper FROM o")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    out = metrics.bootstrap(order.number(_table_metrics(t), "k"), 1)
+    tables = _table_metrics(t).persist()  # read for its size, its cuts, its ranges and its values
+    out = metrics.bootstrap(order.number(tables, "k"), 1)
     return out.select(_r(F.col("lower")).alias("lower"), _r(F.col("upper")).alias("upper"))
 
 

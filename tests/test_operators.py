@@ -7,6 +7,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gridspark import queries as Q
 from gridspark.functions import geometry as G
 from gridspark.functions import text as T
+from gridspark.kernels import resample
 from gridspark.operators import assemble, grid, meet, metrics, pages, runstats, verify, vote
 
 
@@ -354,6 +356,44 @@ def test_run_metrics_and_interval(spark):
     assert empty["tables_detected"] == 0 and empty["overall_f1"] == 0
 
 
+@pytest.mark.parametrize(("seed", "replicate", "n"), [(42, 0, 1), (42, 7, 9), (42, 999, 110), (-3, 5, 10_001), (1234567, 12, 25_037), (10**44, 3, 10_234), (10**46, 3, 20)])
+def test_draws_are_those_of_md5(seed, replicate, n):
+    want = [int(hashlib.md5(f"{seed}:{replicate}:{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)]
+    assert np.concatenate(list(resample.draws(seed, replicate, n))).tolist() == want
+
+
+def test_no_draw_of_the_interval_is_a_row(spark):
+    n = 5000
+    t = spark.range(n).select(F.col("id").alias("ord"), *[(F.col("id") % 7 / 7).alias(c) for c in ("avg_cell_iou", "span_accuracy", "avg_cer", "avg_wer", "exact_match_rate")], (F.col("id") > 3).alias("grid_shape_match"))
+    got = metrics.bootstrap(t, 1, replicates=40)
+    assert got.first()["lower"] > 0
+    assert "replicate" in got._jdf.queryExecution().toString() and "md5" not in got._jdf.queryExecution().toString()
+    packed = list(metrics._weights(iter([pa.RecordBatch.from_arrays([pa.array(range(40))], ["id"])]), n, metrics.SMALL, 42))
+    assert sum(b.num_rows for b in packed) == 40 and sum(b.nbytes for b in packed) < 40 * n / 2
+
+
+def test_interval_with_nulls_windows_and_many_draws_of_a_table(spark, monkeypatch):
+    values = [(0, 0.5, None, 0.25, 1.0), (1, None, 0.75, None, 0.5), (2, 0.125, 1.0, 0.5, None), (3, 1.0, 0.5, 0.0, 0.0), (4, 0.25, 0.25, 1.0, 1.0)]
+    names = ["ord", "avg_cell_iou", "span_accuracy", "avg_cer", "exact_match_rate"]
+    t = spark.createDataFrame(values, "ord long, avg_cell_iou double, span_accuracy double, avg_cer double, exact_match_rate double")
+    mean = lambda a, b: 2 * a * b / (a + b) if a + b > 0 else 0.0
+    f1 = []
+    for r in range(60):
+        rows = [values[int(hashlib.md5(f"42:{r}:{d}".encode()).hexdigest()[:8], 16) % 5] for d in range(5)]
+        of = [[x[i] for x in rows if x[i] is not None] for i in range(1, len(names))]
+        iou, span, cer, exact = (sum(x) / len(x) if x else d for x, d in zip(of, (0.0, 0.0, 1.0, 0.0), strict=True))
+        f1.append(mean(mean(iou, span), mean(1 - cer, exact)))
+    for small, window in ((2, 2), (2, 4), (1 << 17, 1 << 24)):
+        monkeypatch.setattr(metrics, "SMALL", small)
+        monkeypatch.setattr(metrics, "WINDOW", window)
+        got = metrics.bootstrap(t, 1, replicates=60, confidence=1.0).first()
+        assert tuple(got) == (pytest.approx(min(f1)), pytest.approx(max(f1)))
+    x = pa.table({"ord": [0, 1], **{c: [0.5, float("nan")] for c in names[1:]}})
+    drawn = pa.table({"replicate": [0, 1], "part": [0, 0], "wide": [True, False], "weights": [pa.compress(np.array([70_000, 0], np.uint32).tobytes(), codec="zstd", asbytes=True), pa.compress(bytes([1, 1]), codec="zstd", asbytes=True)]})
+    got = metrics._part_sums(x, drawn, 2, 2).to_pylist()
+    assert got[0]["s_avg_cer"] == 35_000 and got[0]["n_avg_cer"] == 70_000 and np.isnan(got[1]["s_avg_cer"])
+
+
 @pytest.mark.parametrize("small", [metrics.SMALL, 0])
 def test_interval_query_resamples_every_table_a_thousand_times(spark, monkeypatch, small):
     monkeypatch.setattr(metrics, "SMALL", small)
