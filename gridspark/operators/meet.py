@@ -32,18 +32,21 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], a_box: str, b_box: st
 
 
 def _dealt(df: DataFrame, box: str, side: float, first: bool) -> DataFrame:
-    """Every box in its squares (kind 0); large ones of the first side meet all of the second in kind 1, small ones of the first the large ones of the second in kind 2."""
-    b = F.col(box)
+    """Every box in its squares (kind 0). Large ones of the first side meet all of the second in kind 1, and small ones of the first meet large ones of the second in kind 2."""
+    b, host = F.col(box), 1 if first else 2
+    crossed = (F.abs(b["x1"] - b["x0"]) / side + 1) * (F.abs(b["y1"] - b["y0"]) / side + 1)
+    small, large = ([0, 3 - host], [1]) if first else ([0, 3 - host], [1, 2])
+    kinds = F.when(crossed <= WIDE, F.array(*map(F.lit, small))).otherwise(F.array(*map(F.lit, large)))
+    sides = [b[s].alias(f"_{'a' if first else 'b'}_{s}") for s in G.SIDES]  # plain columns are read faster for every pair than fields
+    k, share = F.col("_kind"), F.pmod(F.xxhash64(b), F.lit(SHARES)).cast("long")
 
-    def at(kind: int, x: Column, y: Column) -> Column:
-        return F.struct(F.lit(kind).alias("_kind"), x.cast("long").alias("_x"), y.cast("long").alias("_y"))
+    def at(v: Column) -> Column:
+        return F.floor(v / side).cast("long")
 
-    def along(s: str) -> Column:
-        return F.sequence(F.floor(b[f"{s}0"] / side), F.floor(b[f"{s}1"] / side))
+    def span(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(start, end))
 
-    squares = F.flatten(F.transform(along("x"), lambda x: F.transform(along("y"), lambda y: at(0, x, y))))
-    crossed = (F.abs(b["x1"] - b["x0"]) / side + 1) * (F.abs(b["y1"] - b["y0"]) / side + 1)
-    guest, host = (lambda k: F.array(at(k, F.pmod(F.xxhash64(b), F.lit(SHARES)), F.lit(0)))), (lambda k: F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda i: at(k, i, F.lit(0))))
-    small, large = (F.concat(squares, guest(2)), host(1)) if first else (F.concat(squares, guest(1)), F.concat(guest(1), host(2)))
-    sides = [b[s].alias(f"_{'a' if first else 'b'}_{s}") for s in G.SIDES]  # plain columns are read faster for every pair than fields
-    return df.withColumn("_at", F.explode(F.when(crossed <= WIDE, small).otherwise(large))).select(*df.columns, *sides, "_at.*")
+    x0, x1 = (F.when(k == 0, at(b[s])).when(k == host, F.lit(last).cast("long")).otherwise(share) for s, last in (("x0", 0), ("x1", SHARES - 1)))
+    y0, y1 = (F.when(k == 0, at(b[s])).otherwise(F.lit(0).cast("long")) for s in ("y0", "y1"))
+    out = df.select(*df.columns, *sides, F.explode(kinds).alias("_kind"))
+    return out.withColumn("_x", span(x0, x1)).withColumn("_y", span(y0, y1))

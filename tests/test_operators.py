@@ -337,6 +337,25 @@ def test_tokens_fill_cells_by_squares_as_by_page(spark):
     assert got == want and any(r[2] for r in got)
 
 
+def _read_by_hand(spark, where):
+    """Tokens of every part's box by a plain loop over its page."""
+    iou = lambda a, b: (w := min(a[2], b[2]) - max(a[0], b[0])) > 0 and (h := min(a[3], b[3]) - max(a[1], b[1])) > 0 and w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+    parts, want = spark.read.parquet(f"{where}/part.parquet").collect(), {}
+    boxes = [(r.p_brand, r.p_partkey, r.p_name, (x := r.p_partkey % 37 * 15.0, y := r.p_size * 12.0, x + 8.0 + r.p_partkey % 7, y + 9.0 + r.p_size % 3)) for r in parts]
+    tokens = [(page, 2 * k + i, f"x{k}" if i else name, [v + k % 5 * 0.5 + i for v in box]) for page, k, name, box in boxes for i in (0, 1)]
+    for page, k, name, box in boxes:
+        found = sorted((j, text) for of, j, text, other in tokens if of == page and iou(box, other) > 0.1)
+        want[page, k] = (name, " ".join(text for _, text in found), len(found))
+    return want
+
+
+def test_token_texts_of_a_whole_table(spark):
+    want = _read_by_hand(spark, "/root/testdata/sf0.001")
+    found = Q.queries()["token_concat"](spark, "/root/testdata/sf0.001")
+    assert {(r.page, r.box_idx): (r.ocr_value, r.n_tokens) for r in found.collect()} == {k: v[1:] for k, v in want.items() if v[2]}
+    assert "Broadcast" not in found._jdf.queryExecution().toString()  # one small file would be one task
+
+
 def test_matches_python_sequence_ratio(spark):
     rows = [("abcd", "bcde"), ("private", "provable"), ("x" * 300, "x" * 299 + "y")]
     got = spark.createDataFrame(rows, "a string, b string").select(T.sequence_ratio("a", "b").alias("x")).collect()
