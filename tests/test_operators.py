@@ -356,6 +356,16 @@ def test_token_texts_of_a_whole_table(spark):
     assert "Broadcast" not in found._jdf.queryExecution().toString()  # one small file would be one task
 
 
+def test_matches_of_a_whole_table(spark):
+    want = _read_by_hand(spark, "/root/testdata/sf0.001")
+    found = Q.queries()["match_cells"](spark, "/root/testdata/sf0.001")
+    rows = found.collect()
+    assert {(r.page, r.box_idx): (r.ocr_value, r.n_tokens) for r in rows} == {k: v[1:] for k, v in want.items()}
+    assert all(r.is_exact == (want[r.page, r.box_idx][0] == r.ocr_value) for r in rows)
+    pairs = Q._token_pairs(Q.Tables(spark, "/root/testdata/sf0.001"))
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_matches_python_sequence_ratio(spark):
     rows = [("abcd", "bcde"), ("private", "provable"), ("x" * 300, "x" * 299 + "y")]
     got = spark.createDataFrame(rows, "a string, b string").select(T.sequence_ratio("a", "b").alias("x")).collect()
