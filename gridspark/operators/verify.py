@@ -25,9 +25,13 @@ def match_tokens(cells: DataFrame, tokens: DataFrame, page: list[str], cell_keys
 
 
 def token_text(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens of a cell joined by spaces in token order, their number and mean confidence."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]), " ")
-    return pairs.groupBy(*keys).agg(T.strip(joined).alias("ocr_value"), F.count(F.lit(1)).alias("n_tokens"), F.avg("token_confidence").alias("token_confidence"))
+    """Tokens of a cell joined by spaces in token order, their number and mean confidence, summed in that order too so that it is the same in every run."""
+    row = F.array_sort(F.collect_list(F.struct("token_idx", "token", "token_confidence")))
+    out = pairs.groupBy(*keys).agg(row.alias("_row"), F.count(F.lit(1)).alias("n_tokens"))
+    text = T.strip(F.array_join(F.transform("_row", lambda x: x["token"]), " "))
+    known = F.filter(F.transform("_row", lambda x: x["token_confidence"].cast("double")), lambda c: c.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, c: s + c), F.size(known))
+    return out.select(*keys, text.alias("ocr_value"), "n_tokens", mean.alias("token_confidence"))
 
 
 def ladder(value: Column, ocr: Column, n_tokens: Column, token_confidence: Column, similarity: Column, ocr_threshold: float = 0.5) -> Column:

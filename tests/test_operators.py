@@ -356,6 +356,13 @@ def test_token_texts_of_a_whole_table(spark):
     assert "Broadcast" not in found._jdf.queryExecution().toString()  # one small file would be one task
 
 
+def test_mean_confidence_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, i, "a", 0.1 * i if i else None) for i in range(4)]
+    frames = (spark.createDataFrame(x, "k int, token_idx int, token string, token_confidence double").coalesce(1) for x in (rows, rows[::-1]))
+    a, b = (verify.token_text(df, ["k"]).first() for df in frames)
+    assert a == b and a["token_confidence"] == pytest.approx(0.2) and a["n_tokens"] == 4
+
+
 def test_matches_of_a_whole_table(spark):
     want = _read_by_hand(spark, "/root/testdata/sf0.001")
     found = Q.queries()["match_cells"](spark, "/root/testdata/sf0.001")
