@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import lean
+
 #: Bytes of a window; the network starts anew at each, in both directions.
 STEPS = 64
 HIDDEN = 8
 #: Windows that a worker runs side by side.
 WIDE = 4096
+#: Rows that a worker predicts, and in the pipeline returns, together.
+ROWS = 1024
 #: The bounded training sample: so many documents of each language, so many windows of each. Where there are so many languages
 #: that this makes more than MANY_DOCS, each has fewer, but LEAST_DOCS at least, so that none is without.
 SAMPLE_DOCS = 400
@@ -101,16 +105,15 @@ class Model:
         f, b = keep or (None, None)
         return self.forth.run(x, f), self.back.run(x[::-1], b)[::-1]
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """The probabilities of every position: (steps, languages, windows)."""
-        hf, hb = self.states(x)
+    def chances(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The probabilities of one step, (languages, windows), from the states of both directions there."""
         k = self.w.shape[1] // 2
-        p = np.matmul(self.w[:, :k], hf)
-        p += np.matmul(self.w[:, k:], hb)
+        p = self.w[:, :k] @ f
+        p += self.w[:, k:] @ b
         p += self.b
-        p -= p.max(axis=1, keepdims=True)
+        p -= p.max(axis=0)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        p /= p.sum(axis=0)
         return p
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
@@ -131,9 +134,11 @@ class Model:
             inside = step < n
             x = raw[s + step]
             x[~inside] = 0
-            p = self.positions(x)
-            p *= inside[:, None]
-            sums = p.sum(axis=0)
+            sums = np.zeros((len(self.langs), x.shape[1]), np.float32)
+            for t, (f, b) in enumerate(zip(*self.states(x), strict=True)):
+                p = self.chances(f, b)
+                p *= inside[t]
+                sums += p
             for k in range(len(self.langs)):
                 out[:, k] += np.bincount(o, sums[k], len(texts))
         return out / np.maximum(sizes, 1)[:, None]
@@ -196,7 +201,9 @@ def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     known = docs.filter(F.col("lang").isNotNull() & (_fold(F.col("doc_id")) != 0))
     counts = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
     each = min(SAMPLE_DOCS, max(LEAST_DOCS, MANY_DOCS // max(1, len(counts))))
-    shares = known.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts], "lang string, share double")
+    # an Arrow table becomes a local relation; rows of Python objects would start a second set of workers on the executors
+    shares = pa.table({"lang": pa.array([lang for lang, _ in counts], pa.string()), "share": pa.array([min(1.0, each / n) for _, n in counts], pa.float64())})
+    shares = known.sparkSession.createDataFrame(shares)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     n = F.octet_length("text")
@@ -209,8 +216,8 @@ def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 p = model.pooled([t.encode() for t in texts])
                 best = p.argmax(axis=1) if model.langs else np.zeros(len(texts), int)
@@ -232,7 +239,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or train(sample(docs))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    out = rows.mapInArrow(_predict(model), "doc_id long, t long, lang_pred string, score double")
+    out = rows.mapInArrow(lean(_predict(model)), "doc_id long, t long, lang_pred string, score double")
     held = F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False))
     return out.select("doc_id", "t", held.alias("held_out"), "lang_pred", "score")
 
@@ -242,13 +249,15 @@ def _keep(model: Model, min_score: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("doc_id")], ["doc_id", "text", "t"])
-            found = [y for x in score(iter([rows])) for y in zip(x.column("lang_pred").to_pylist(), x.column("score").to_pylist(), strict=True)]
-            yield b.filter(pa.array([lang != UNKNOWN and s > min_score for lang, s in found], pa.bool_()))
+            for i in range(0, b.num_rows, ROWS):  # never a second copy of a whole batch
+                part = b.slice(i, ROWS)
+                rows = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("doc_id")], ["doc_id", "text", "t"])
+                found = [y for x in score(iter([rows])) for y in zip(x.column("lang_pred").to_pylist(), x.column("score").to_pylist(), strict=True)]
+                yield part.filter(pa.array([lang != UNKNOWN and s > min_score for lang, s in found], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the documents that have no letter or no language above ``min_score``; all columns are kept."""
-    return docs.mapInArrow(_keep(train(sample(docs)), min_score), docs.schema)
+    return docs.mapInArrow(lean(_keep(train(sample(docs)), min_score)), docs.schema)

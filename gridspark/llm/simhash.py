@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .workers import lean
 
 SEED = 42
 WORDS = 4
@@ -61,7 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, t, fp)`` of every document; ``t`` is a hash of the text that tells rows of one doc_id apart."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return rows.select("doc_id", "text", "t").mapInArrow(_fingerprints, "doc_id long, t long, fp long")
+    return rows.select("doc_id", "text", "t").mapInArrow(lean(_fingerprints), "doc_id long, t long, fp long")
 
 
 def cells(fps: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 
     dealt = cells(fps)
     dealt = dealt.repartition(scratch.tasks(fps, POINTS), "cell").sortWithinPartitions("cell")
-    found = scratch.table(dealt.mapInArrow(of_cells, "kind int, a long, b long, block int"), "links")
+    found = scratch.table(dealt.mapInArrow(lean(of_cells), "kind int, a long, b long, block int"), "links")
     out = found.filter("kind = 0").select("a", "b").distinct()
     big = found.filter("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("fp"), "block")
     if not big.isEmpty():

@@ -13,6 +13,7 @@ a unary bit string with a one for each value, and ``select`` finds the i-th one
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .hashing import word_hashes
+from .workers import lean
 
 MAGIC = b"GSEF0001"
 END_ID = 1
@@ -35,6 +37,8 @@ BLOCK_IDS = 4 << 20
 CACHE_WORDS = 2_000_000
 #: Characters that are encoded together.
 PORTION = 2 << 20
+#: Bytes of words that are compared together.
+COMPARED = 1 << 18
 SAMPLE = 512
 TOKENIZER = "word_bpe_49k.json"
 
@@ -234,8 +238,14 @@ def _spelt_alike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndar
     """Whether every word of the bytes ``a`` is that of ``b``, byte by byte."""
     if not np.array_equal(a_size, b_size):
         return False
-    inside = np.arange(int(a_size.sum())) - np.repeat(np.cumsum(a_size) - a_size, a_size)
-    return np.array_equal(a[np.repeat(a_at, a_size) + inside], b[np.repeat(b_at, b_size) + inside])
+    upto = np.cumsum(a_size)
+    cuts = np.searchsorted(upto, np.arange(COMPARED, upto[-1] if len(upto) else 0, COMPARED)).tolist()
+    for i, k in itertools.pairwise([0, *cuts, len(upto)]):
+        size = a_size[i:k]
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if not np.array_equal(a[np.repeat(a_at[i:k], size) + inside], b[np.repeat(b_at[i:k], size) + inside]):
+            return False
+    return True
 
 
 def _split_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +341,7 @@ def write_token_files(docs: DataFrame, where: str, tokenizer: str | None = None,
     path = tokenizer or vocabulary_path()
     rows, parts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")), scratch.tasks(docs)
     rows = rows.repartitionByRange(parts, "doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
-    data = rows.mapInArrow(_writer(path, block_ids), "data binary")
+    data = rows.mapInArrow(lean(_writer(path, block_ids)), "data binary")
     data.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(where)
 
 
@@ -366,7 +376,7 @@ def read_token_files(spark: SparkSession, where: str) -> DataFrame:
     starts, total = {}, 0
     for part, n in sorted(map(tuple, sizes)):
         starts[part], total = total, total + n
-    return files.select("content").mapInArrow(_reader(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("content").mapInArrow(lean(_reader(starts)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

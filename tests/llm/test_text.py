@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridspark.llm import language, piecewise, tokens, toxicity
+from gridspark.llm import language, piecewise, simhash, tokens, toxicity
 
 from . import brute
 from .test_dedup import corpus, frame
@@ -375,3 +379,85 @@ def test_without_both_classes_scores_are_zero(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, labels).first().score == 0.0
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+# --- memory of Python workers ---
+
+
+def random_model(langs: int = 12) -> language.Model:
+    rng = np.random.default_rng(3)
+    f32 = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
+    gru = lambda: language.Gru(f32(24, 256), f32(24, 8), f32(8, 1))
+    return language.Model([f"l{i}" for i in range(langs)], gru(), gru(), f32(langs, 16), f32(langs, 1))
+
+
+def test_large_batches_are_kept_in_parts():
+    ids = list(range(2500))
+    texts = [None if i % 7 == 0 else "12 34" if i % 5 == 0 else f"text {i} of some words" for i in ids]
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text": texts, "more": ids})
+    got = list(language._keep(random_model(), 0.0)(iter([batch])))
+    assert [i for b in got for i in b.column("doc_id").to_pylist()] == [i for i in ids if i % 7 and i % 5]
+    assert all(b.schema == batch.schema for b in got) and max(b.num_rows for b in got) <= language.ROWS
+
+
+def test_the_sample_starts_no_workers_of_plain_rows(spark, monkeypatch):
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of Python objects go through workers of their own")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    got = language.sample(docs)
+    assert sorted(text.decode() for _, text in got) == sorted(f"text {i}" for i in range(200) if zlib.crc32(str(i).encode()) % 5)
+    assert {lang for lang, _ in got} == {"aa", "bb"}
+
+
+HELD = """
+import re, sys
+sys.path.insert(0, sys.argv[1])
+import pyarrow as pa
+from tests.llm.test_text import language, random_model
+from gridspark.llm.workers import lean
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    yield pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": [f"text {i} of some words " * 200 for i in range(4000)]})
+
+plain = language._keep(random_model(), 0.0)
+for task in (lean(plain), plain, lean(plain)):  # the first loads what stays
+    for b in task(batches()):
+        del b
+    print(held())
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_gives_back_what_its_task_freed():
+    run = subprocess.run([sys.executable, "-c", HELD, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, check=True)
+    first, plain, again = map(float, run.stdout.split())
+    assert again < first + 10 < plain
+
+
+def test_words_are_compared_over_the_borders_of_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "COMPARED", 5)
+    for words in ([], [b"a"], [b"abcdefgh", b"ij", b"k", b"lmnopqrs", b"", b"t"], [b"abcde"] * 4):
+        raw, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+        at = np.cumsum(size) - size
+        assert tokens._spelt_alike(raw, at, size, raw.copy(), at, size)
+        for i in range(len(raw)):
+            other = raw.copy()
+            other[i] += 1
+            assert not tokens._spelt_alike(raw, at, size, other, at, size)
+
+
+def test_every_task_of_the_pipeline_is_lean(spark, monkeypatch):
+    seen = []
+    plain = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **b: seen.append(f) or plain(self, f, *a, **b))
+    docs = spark.createDataFrame([(1, "one two three four five", "aa"), (2, "six seven eight nine ten", "bb")], "doc_id long, text string, lang string")
+    language.keep_identified(docs)
+    simhash.deduplicate(docs)
+    tokens.token_files(docs)
+    assert len(seen) == 5 and all(hasattr(f, "__wrapped__") for f in seen)
