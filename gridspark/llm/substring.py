@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .hashing import Powers, mix, sums, word_hashes
+from .workers import lean, release, small_batches
 
 K = 35
 SEED_WORDS = 8
@@ -37,8 +39,8 @@ MAX_HOT = 100_000
 MAX_BROADCAST = 20_000
 SALTS = 16
 #: Texts are hashed together up to about so many bytes.
-BATCH_BYTES = 2 << 20
-#: So many bytes of text, or an Arrow batch if that is smaller, are searched for equal pieces before they are dealt out.
+BATCH_BYTES = 1 << 19
+#: So many bytes of a task's text are searched for equal pieces before they are dealt out.
 COMBINE_BYTES = 32 << 20
 #: Bytes of an edge's hash that are sent; what they take for equal is compared by its words afterwards.
 EDGE_BYTES = 6
@@ -87,27 +89,43 @@ _SENT_SCHEMA = "key long, kind int, doc_id long, t long, s int, p long, m long,
 NORMAL, HOT, SPARE, KNOWN = range(4)
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
-    """``(doc_id, t, text)`` -> the pieces of COMBINE_BYTES of text: row, first word, count and minimizer of each, all edges, and which copy it is."""
+def _portions(batches: Iterator[pa.RecordBatch], edge_bytes: int = 0) -> Iterator[dict]:
+    """``(doc_id, t, text)`` -> the pieces of COMBINE_BYTES of text: row, first word, count and minimizer of each, and which copy it is.
+
+    ``doc_id`` and ``t`` are by row. ``edges`` has ``edge_bytes`` of each edge's hash, in parts as they were hashed; part
+    ``i`` is of the pieces from ``bounds[i]`` to ``bounds[i + 1]``. A portion is emptied before the next one is made.
+    """
+    found, ids, rows, size = [], [], 0, 0
     for b in batches:
         texts = b.column(2).cast(pa.binary())
-        i, size, found = 0, 0, []
+        i = 0
         while i < len(texts):
             part, n, j = [], 0, i
             while j < len(texts) and n < BATCH_BYTES:
                 part.append(texts[j].as_py() or b"")
                 n += len(part[-1]) + 1
                 j += 1
-            found += _of_texts(part, i)
-            i, size = j, size + n
-            if size >= COMBINE_BYTES or i == len(texts):
-                if found:
-                    yield b, _with_copies(found)
-                size, found = 0, []
-
-
-def _of_texts(part: list[bytes], i: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, first word, edges and minimizer of every piece of the texts from row ``i`` on, and all edges' hashes."""
+            found += _of_texts(part, rows, edge_bytes)
+            ids.append([np.array(b.column(c).slice(i, j - i)) for c in (0, 1)])  # copies, which do not hold the batch
+            i, rows, size = j, rows + j - i, size + n
+            if size >= COMBINE_BYTES:
+                yield from _portion(found, ids)
+                rows = size = 0
+    yield from _portion(found, ids)
+
+
+def _portion(found: list[tuple[np.ndarray, ...]], ids: list[list[np.ndarray]]) -> Iterator[dict]:
+    if found:
+        doc_id, t = map(np.concatenate, zip(*ids, strict=True))
+        x = _with_copies(found) | {"doc_id": doc_id, "t": t}
+        yield x
+        x.clear()
+    ids.clear()
+    release()
+
+
+def _of_texts(part: list[bytes], i: int, edge_bytes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, first word, edges, minimizer, first and last edge of every piece of the texts from row ``i`` on, and ``edge_bytes`` of all edges' hashes."""
     starts, _, h = word_hashes(b"\n".join(part))
     bounds = np.cumsum([0, *(len(x) + 1 for x in part)])
     doc = np.searchsorted(bounds, starts, side="right") - 1
@@ -117,22 +135,29 @@ def _of_texts(part: list[bytes], i: int) -> Iterator[tuple[np.ndarray, ...]]:
         z = min(len(h), a + step + K - 1)
         start, count, m, edges = pieces(h[a:z], doc[a:z])
         if len(start):
-            d = doc[start + a]
-            yield d + i, start + a - head[d], count, m, edges
+            d, ends = doc[start + a], np.cumsum(count)
+            short = np.ascontiguousarray(edges.view(np.uint8).reshape(-1, 8)[:, :edge_bytes])  # little-endian
+            yield (d + i).astype(np.int32), (start + a - head[d]).astype(np.int32), count.astype(np.int32), m, edges[ends - count], edges[ends - 1], short
 
 
-def _with_copies(found: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
-    """``nth`` counts equal pieces from 0, ``n`` says how many there are, ``p`` names them: the first edge, the last and the number tell pieces apart."""
-    row, s, count, m, edges = (np.concatenate(x) for x in zip(*found, strict=True))
-    ends = np.cumsum(count)
-    first, last = edges[ends - count], edges[ends - 1]
+def _with_copies(found: list[tuple[np.ndarray, ...]]) -> dict:
+    """``nth`` counts equal pieces from 0, ``n`` says how many there are, ``p`` names them: the first edge, the last and the number tell pieces apart.
+
+    ``found`` is emptied.
+    """
+    edges = [x[-1] for x in found]
+    bounds = np.cumsum([0, *(len(x[0]) for x in found)]).tolist()
+    row, s, count, m, first, last = (np.concatenate([x[i] for x in found]) for i in range(6))
+    found.clear()
     order = np.lexsort((np.arange(len(m)), last, first, count))
     f, z, c = first[order], last[order], count[order]
     at = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (z[1:] != z[:-1]) | (c[1:] != c[:-1])]))
+    del f, z, c
     size = np.diff(np.append(at, len(m)))
-    nth, n = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
+    nth, n = np.empty(len(m), np.int32), np.empty(len(m), np.int32)
     nth[order], n[order] = np.arange(len(m)) - np.repeat(at, size), np.repeat(size, size)
-    return {"row": row, "s": s, "count": count, "m": m, "edges": edges, "nth": nth, "n": n, "p": mix(mix(first) + last + count.astype(np.uint64))}
+    p = mix(mix(first) + last + count.astype(np.uint64))
+    return {"row": row, "s": s, "count": count, "m": m, "nth": nth, "n": n, "p": p, "edges": edges, "bounds": bounds}
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +165,7 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A minimizer that no portion counts is in two pieces of each at most, a few hundred bytes for every 32 MB of text.
     """
-    for _, x in _portions(batches):
+    for x in _portions(batches):  # without edges
         m, n = np.unique(x["m"][x["nth"] < 2], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(m[n > 2].view(np.int64)), pa.array(n[n > 2])], ["m", "n"])
 
@@ -153,25 +178,30 @@ def _pieces(hot: np.ndarray, edge_bytes: int) -> Callable[[Iterator[pa.RecordBat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x in _portions(batches):
-            row, count, m = x["row"], x["count"], x["m"]
-            kind = np.where(x["nth"] >= 2, SPARE, np.where(np.isin(m, hot), HOT, NORMAL)).astype(np.int32)
-            spread = mix(mix(row.astype(np.uint64)) + x["s"].astype(np.uint64) + m)
-            key = np.where(kind == NORMAL, m, spread).view(np.int64)
-            short = x["edges"].view(np.uint8).reshape(-1, 8)[:, :edge_bytes]  # little-endian
-            for of in (NORMAL, HOT, SPARE):
-                k = np.flatnonzero(kind == of)
-                if not len(k):
-                    continue
-                take = pa.array(row[k])
-                cols = [pa.array(key[k]), pa.array(kind[k]), b.column(0).take(take), b.column(1).take(take), pa.array(x["s"][k].astype(np.int32))]
-                cols += [pa.array(x["p"][k].view(np.int64), mask=x["n"][k] < 3), pa.array(m[k].view(np.int64), mask=np.full(len(k), of != HOT))]
-                cols.append(pa.nulls(len(k), pa.binary()) if of == SPARE else _binary(short[np.repeat(kind == of, count)], count[k]))
-                yield pa.RecordBatch.from_arrays(cols, _SENT)
+        for x in _portions(batches, edge_bytes):
+            kind = np.where(x["nth"] >= 2, SPARE, np.where(np.isin(x["m"], hot), HOT, NORMAL)).astype(np.int32)
+            for i, (a, z) in enumerate(pairwise(x["bounds"])):
+                yield from _sent({c: x[c][a:z] for c in ("row", "s", "count", "m", "n", "p")}, kind[a:z], x["edges"][i], x["doc_id"], x["t"])
+                x["edges"][i] = None  # they are on their way
 
     return run
 
 
+def _sent(x: dict[str, np.ndarray], kind: np.ndarray, edges: np.ndarray, doc_id: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pieces, their edges one after another, and ids by row -> rows of _SENT, each kind on its own."""
+    row, count, m = x["row"], x["count"], x["m"]
+    spread = mix(mix(row.astype(np.uint64)) + x["s"].astype(np.uint64) + m)
+    key = np.where(kind == NORMAL, m, spread).view(np.int64)
+    for of in (NORMAL, HOT, SPARE):
+        k = np.flatnonzero(kind == of)
+        if not len(k):
+            continue
+        cols = [pa.array(y) for y in (key[k], kind[k], doc_id[row[k]], t[row[k]], x["s"][k])]
+        cols += [pa.array(x["p"][k].view(np.int64), mask=x["n"][k] < 3), pa.array(m[k].view(np.int64), mask=np.full(len(k), of != HOT))]
+        cols.append(pa.nulls(len(k), pa.binary()) if of == SPARE else _binary(edges[np.repeat(kind == of, count)], count[k]))
+        yield pa.RecordBatch.from_arrays(cols, _SENT)
+
+
 def _binary(short: np.ndarray, count: np.ndarray) -> pa.Array:
     """The edges of each row, ``count`` of them, as one binary value."""
     offsets = np.concatenate([[0], np.cumsum(count) * short.shape[1]]).astype(np.int32)
@@ -335,7 +365,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def hot_minimizers(docs: DataFrame, max_group: int = MAX_GROUP) -> np.ndarray:
     """The minimizers of the MAX_HOT largest groups beyond ``max_group`` pieces; a hot group's count has map-side partial sums."""
-    found = _rows(docs).select("doc_id", "t", "text").mapInArrow(_crowded, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    found = _rows(docs).select("doc_id", "t", "text").mapInArrow(lean(_crowded), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
     rows = found.filter(F.col("n") > max_group).orderBy(F.desc("n"), "m").limit(MAX_HOT).collect()
     return np.array(sorted(r["m"] for r in rows), np.int64).view(np.uint64)
 
@@ -354,16 +384,16 @@ def segments(docs: DataFrame, max_group: int = MAX_GROUP, edge_bytes: int = EDGE
     Wherever an edge occurs, the same segment starts at the same distance from it. Pieces known to equal another one take
     its segments through a join; edges of too large groups are counted in Spark and are segments of their own.
     """
-    dealt = _rows(docs).select("doc_id", "t", "text").mapInArrow(_pieces(hot_minimizers(docs, max_group), edge_bytes), _SENT_SCHEMA)
+    dealt = _rows(docs).select("doc_id", "t", "text").mapInArrow(lean(_pieces(hot_minimizers(docs, max_group), edge_bytes)), _SENT_SCHEMA)
     dealt = dealt.repartition(scratch.tasks(docs), "key").sortWithinPartitions("kind", "key")
-    found = scratch.table(dealt.mapInArrow(_groups(max_group, edge_bytes), _OUT_SCHEMA), "pieces")
+    found = scratch.table(dealt.mapInArrow(lean(_groups(max_group, edge_bytes)), _OUT_SCHEMA), "pieces")
     placed = F.transform("segments", lambda x: F.struct((F.col("s") + x["o"]).alias("pos"), x["n"].alias("n"), x["id"].alias("id"))).alias("segments")
     models = found.filter(F.col("kind").isin(NORMAL, KNOWN) & F.col("p").isNotNull()).groupBy("p").agg(F.max("segments").alias("segments"))
     spare = _with_models(found.filter(F.col("kind") == SPARE).select("doc_id", "t", "s", "p"), scratch.table(models, "models"))
     out = found.filter(F.col("kind") == NORMAL).select("doc_id", "t", placed).union(spare.select("doc_id", "t", placed))
     big = found.filter(F.col("kind") == HOT).select("doc_id", "t", "s", "m", "edges")
     if not big.isEmpty():
-        each = scratch.table(big.mapInArrow(_one_by_one(edge_bytes), "doc_id long, t long, pos int, id long"), "edges")
+        each = scratch.table(big.mapInArrow(lean(_one_by_one(edge_bytes)), "doc_id long, t long, pos int, id long"), "edges")
         twice = each.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id")
         one = F.array(F.struct("pos", F.lit(1).alias("n"), "id"))
         out = out.union(each.join(twice, "id").select("doc_id", "t", one.alias("segments")))
@@ -473,7 +503,7 @@ def _wrong_edges(rows: DataFrame, cut: DataFrame, odd: DataFrame) -> DataFrame:
     unsure = cut.select("doc_id", "t", F.explode("marks.path").alias("path")).join(odd, "path", "left_semi")
     unsure = unsure.groupBy("doc_id", "t").agg(F.collect_set("path").alias("unsure"))
     each = rows.join(unsure, ["doc_id", "t"]).select("doc_id", "t", "text", "segments", "unsure")
-    each = scratch.table(each.mapInArrow(_edge_digests, "doc_id long, t long, pos int, digest binary"), "unsure")
+    each = scratch.table(each.mapInArrow(lean(_edge_digests), "doc_id long, t long, pos int, digest binary"), "unsure")
     alone = each.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").select("digest")
     return each.join(alone, "digest", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("wrong"))
 
@@ -487,15 +517,16 @@ def remove_repeats(docs: DataFrame, max_group: int = MAX_GROUP, edge_bytes: int
     Rows that repeat a doc_id, or have none, are documents of their own, and equal ones repeat each other. Other columns
     are ignored. ``max_group`` and ``edge_bytes`` change the way, not the result.
     """
-    found = paths(docs, max_group, edge_bytes)
-    rows = _rows(docs).join(found, ["doc_id", "t"], "left")
-    none = F.lit(None).cast("array<int>").alias("wrong")
-    cut = scratch.table(rows.select("own", "doc_id", "t", "text", "segments", none).mapInArrow(_cut, _CUT_SCHEMA), "cut")
-    same = cut.select(F.explode("marks").alias("x")).groupBy("x.path", "x.digest").agg(F.count(F.lit(1)).alias("c"))
-    odd = scratch.table(same.filter("c = 1").select("path").distinct(), "odd")
-    out = cut
-    if not odd.isEmpty():
-        wrong = scratch.table(_wrong_edges(rows, cut, odd), "wrong")
-        again = rows.join(wrong, ["doc_id", "t"]).select("own", "doc_id", "t", "text", "segments", "wrong").mapInArrow(_cut, _CUT_SCHEMA)
-        out = cut.join(wrong, ["doc_id", "t"], "left_anti").unionByName(again)
+    with small_batches(docs.sparkSession):
+        found = paths(docs, max_group, edge_bytes)
+        rows = _rows(docs).join(found, ["doc_id", "t"], "left")
+        none = F.lit(None).cast("array<int>").alias("wrong")
+        cut = scratch.table(rows.select("own", "doc_id", "t", "text", "segments", none).mapInArrow(lean(_cut), _CUT_SCHEMA), "cut")
+        same = cut.select(F.explode("marks").alias("x")).groupBy("x.path", "x.digest").agg(F.count(F.lit(1)).alias("c"))
+        odd = scratch.table(same.filter("c = 1").select("path").distinct(), "odd")
+        out = cut
+        if not odd.isEmpty():
+            wrong = scratch.table(_wrong_edges(rows, cut, odd), "wrong")
+            again = rows.join(wrong, ["doc_id", "t"]).select("own", "doc_id", "t", "text", "segments", "wrong").mapInArrow(lean(_cut), _CUT_SCHEMA)
+            out = cut.join(wrong, ["doc_id", "t"], "left_anti").unionByName(again)
     return out.select(F.col("own").alias("doc_id"), "n_words", "n_removed", "kept")

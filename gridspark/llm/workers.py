@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -24,6 +26,22 @@ def lean(task: Task) -> Task:
     return run
 
 
+#: Bytes of an Arrow batch under :func:`small_batches`. A worker holds two, and the JVM one that grows by doubling beside each.
+BYTES_A_BATCH = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python workers in batches of BYTES_A_BATCH; then the session's limit holds again."""
+    before = spark.conf.get(_LIMIT, None)
+    spark.conf.set(_LIMIT, BYTES_A_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_LIMIT) if before is None else spark.conf.set(_LIMIT, before)
+
+
 def release() -> None:
     """Give free memory of Arrow's pool and, where the C library is glibc, of the heap back."""
     pa.default_memory_pool().release_unused()

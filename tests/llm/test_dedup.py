@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm import components, decontaminate, simhash, substring
+from gridspark.llm import components, decontaminate, simhash, substring, workers
 
 from . import brute
 
@@ -268,3 +270,57 @@ def test_long_text(spark):
     rows = [(1, " ".join(w)), (2, " ".join(w[30_000:30_050])), (3, "x" * 300_000)]
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect()}
     assert got == {1: (60_000, 50), 2: (50, 50), 3: (1, 0)}
+
+
+def text_batches(sizes):
+    """Texts of 2000 words, every fourth of them the same, in Arrow batches of so many."""
+    i = 0
+    for n in sizes:
+        ids = list(range(i, i + n))
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "t": [7 * k for k in ids], "text": [" ".join(words(2000, 3 if k % 4 == 0 else 100 + k, 10**6)) for k in ids]})
+        i += n
+
+
+def test_equal_pieces_are_found_over_the_borders_of_batches(monkeypatch):
+    monkeypatch.setattr(substring, "BATCH_BYTES", 30_000)
+    task = substring._pieces(np.empty(0, np.uint64), substring.EDGE_BYTES)
+    one, many = (pa.Table.from_batches(task(text_batches(sizes))) for sizes in ([40], [3, 1, 0, 20, 16]))
+    assert many.num_rows == one.num_rows and sorted(map(str, many.drop(["key"]).to_pylist())) == sorted(map(str, one.drop(["key"]).to_pylist()))
+    kind = many.column("kind").to_numpy()
+    spare = many.filter(pa.array(kind == substring.SPARE)).select(["doc_id", "t"]).to_pylist()
+    assert {r["doc_id"] for r in spare} == set(range(8, 40, 4)) and all(r["t"] == 7 * r["doc_id"] for r in spare)
+
+
+def test_a_task_of_pieces_holds_little():
+    """What numpy holds beside 8 MB of text, and what is sent on at a time."""
+    batches = [pa.Table.from_batches(text_batches([600])).combine_chunks().to_batches()[0]]
+    size = sum(b.column("text").nbytes for b in batches)
+    for task in (substring._crowded, substring._pieces(np.empty(0, np.uint64), substring.EDGE_BYTES)):
+        list(task(iter([batches[0].slice(0, 100)])))  # tables that stay
+        tracemalloc.start()
+        sent = max(b.nbytes for b in task(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sent < size / 4
+        assert peak < 4 * size
+
+
+def test_every_task_of_op3_is_lean_and_gets_small_batches(spark, rows, monkeypatch):
+    seen, limit = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain, before = type(spark.range(0)).mapInArrow, spark.conf.get(limit)
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **b: seen.append((f, spark.conf.get(limit))) or plain(self, f, *a, **b))
+    substring.remove_repeats(frame(spark, rows), max_group=0, edge_bytes=1)
+    assert len(seen) == 7 and all(hasattr(f, "__wrapped__") and int(n) == workers.BYTES_A_BATCH for f, n in seen)
+    assert spark.conf.get(limit) == before
+
+
+def test_small_batches_hold_rows_larger_than_themselves(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64()), "bytes": pa.array([b.nbytes], pa.int64())})
+
+    docs = spark.range(0, 64, 1, 1).selectExpr("repeat('x', if(id = 20, 20, 1) * 1024 * 1024) as text")
+    with workers.small_batches(spark):
+        got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 64 and sum(r.bytes for r in got) >= 83 << 20
+    assert sorted(r.bytes for r in got)[-2] <= workers.BYTES_A_BATCH + (2 << 20) and max(r.bytes for r in got) <= workers.BYTES_A_BATCH + (21 << 20)
